@@ -34,10 +34,13 @@ from pyspark.sql import types as T
 
 from .storage import settle, shared_dir
 
-SAMPLE, LEXICON = 20_000, 300
+SAMPLE, LEXICON = 20_000, 1_000
 TREES, DEPTH = 20, 3
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
-FEATURES = 9
+FEATURES = 11
+#: Lengths of the prefixes that may enter the lexicon, and words a task remembers.
+STEM = (5, 6, 7, 8)
+KNOWN_WORDS = 300_000
 #: Words around a second person, and the span of the strongest window.
 NEAR, SPAN = 6, 40
 #: Pronouns of the second person in English, German, French and Spanish.
@@ -52,47 +55,70 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words without punctuation at their edges and with common substitutions undone."""
-    out = []
-    for word in text.lower().split():
-        bare = word.strip(_EDGE)
-        out.append(bare.translate(_PLAIN) if not bare.isalpha() and any(c.isalpha() for c in bare) else bare)
-    return out
+def bare(word: str) -> str:
+    """The lower-cased word without punctuation at its edges and with common substitutions undone."""
+    word = word.lower().strip(_EDGE)
+    return word.translate(_PLAIN) if not word.isalpha() and any(map(str.isalpha, word)) else word
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+def stems(word: str) -> list[str]:
+    """The word, and its prefixes marked as such: other forms and compounds share them."""
+    return [word, *(word[:k] + "*" for k in STEM if len(word) >= k)]
+
+
+class Lexicon:
+    """Weighted stems, with a bounded memory of the words met."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+        self.known: dict[str, tuple[float, bool, bool]] = {}
+
+    def look(self, word: str) -> tuple[float, bool, bool]:
+        """Weight (0 if absent), whether it's a second person, whether it's obfuscated."""
+        got = self.known.get(word)
+        if got is None:
+            plain = bare(word)
+            weight = max((self.weights.get(x, 0.0) for x in stems(plain)), default=0.0)
+            got = weight, plain in SECOND_PERSON, not word.isalpha() and bool(_OBFUSCATED.search(word))
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     raw = text.split()
     n = len(raw)
     if not n:
         return [0.0] * FEATURES
-    words = words_of(text)
-    at = [k for k, w in enumerate(words) if w in lexicon]
-    weight = sum(lexicon[words[k]] for k in at)
-    best = 0
-    lo = 0
+    look = lexicon.look
+    found = [look(w) for w in raw]
+    at = [k for k, x in enumerate(found) if x[0]]
+    best = lo = 0
     for hi, k in enumerate(at):
         while k - at[lo] >= SPAN:
             lo += 1
         best = max(best, hi - lo + 1)
     close = 0
-    if at:
-        second = [k for k, w in enumerate(words) if w in SECOND_PERSON]
-        place = np.searchsorted(second, at) if second else []
-        for k, p in zip(at, place, strict=False):
+    if at and (second := [k for k, x in enumerate(found) if x[1]]):
+        for k, p in zip(at, np.searchsorted(second, at).tolist(), strict=True):
             close += any(0 <= q < len(second) and abs(second[q] - k) <= NEAR for q in (p - 1, p))
-    letters = sum(map(str.isalpha, text)) or 1
-    odd = sum(1 for w in raw if not w.isalpha() and _OBFUSCATED.search(w))
+    data = np.frombuffer(text.encode(), np.uint8)
+    capitals = np.count_nonzero((data >= 65) & (data <= 90))
+    letters = capitals + np.count_nonzero(((data >= 97) & (data <= 122)) | (data >= 192))
+    weights = [found[k][0] for k in at]
     return [
         len(at) / n,
-        weight / n,
+        sum(weights) / n,
+        max(weights, default=0.0),
         float(best),
         math.log1p(len(at)),
-        math.log1p(len({words[k] for k in at})),
+        math.log1p(len({raw[k] for k in at})),
         close / n,
-        sum(map(str.isupper, text)) / letters,
+        capitals / max(letters, 1),
         (text.count("!") + text.count("?")) / n,
-        odd / n,
+        sum(x[2] for x in found) / n,
+        math.log1p(n),
     ]
 
 
@@ -109,11 +135,10 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
         for batch in batches:
             bad, good = Counter(), Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (bad if toxic else good).update(set(words_of(text or "")))
+                (bad if toxic else good).update({x for w in set((text or "").split()) for x in stems(bare(w))})
             if bad:
                 rows = [(w, n, good[w]) for w, n in bad.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["word", "bad", "good"])
-            # Words of toxic texts only are wanted, but a word's other texts may be in another batch.
             rest = [(w, 0, n) for w, n in good.items() if w not in bad]
             if rest:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rest, strict=True)], ["word", "bad", "good"])
@@ -132,8 +157,9 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], name: str = "featu
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(shared.value)
         for batch in batches:
-            value = [features(x or "", shared.value) for x in batch.column("text").to_pylist()]
+            value = [features(x or "", lexicon) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.list_(pa.float64()))], [*batch.schema.names, name])
 
     return rows.mapInArrow(added, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
