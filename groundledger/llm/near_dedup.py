@@ -34,7 +34,7 @@ from .words import U64, mix, parts, shingle_sets
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 #: Bands tried with one hub a bucket, in turn; then buckets are compared in blocks.
-HUB_ROUNDS = ((0, 2), (2, 8), (8, BANDS))
+HUB_ROUNDS = ((0, 3), (3, BANDS))
 BLOCK = 256
 #: Signatures of pairs at 0.75 agree in fewer than half of their slots with a probability below 1e-9.
 LEAST_AGREEING = SLOTS // 2
@@ -107,40 +107,61 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.mapInArrow(confirm, "a long, b long")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block pair that are apart and whose signatures agree enough.
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts(batches):
+        items, off = shingle_sets(part.column("text"))
+        sign = (mix(super_minhash(items, off).view(U64)) & U64(255)).astype(np.uint8)
+        value = [items[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in sign], pa.binary()), pa.array(value, pa.binary())],
+            ["rep", "sign", "items"],
+        )
 
-    Rows come sorted by (key, i, j); a block pair has some 2 * BLOCK rows.
+
+def _block_links(percent: int):
+    """Links within block pairs, whose rows (key, i, j, band, rep, comp, sign, items) come together.
+
+    A block pair has some 2 * BLOCK rows. Pairs that are joined already, that an
+    earlier band holds too, or whose signatures differ too much are passed over;
+    the full sets decide on the others, and only links leave the task.
     """
     names = ("key", "i", "j")
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
-        ids, comp, size = (group.column(c).to_numpy() for c in ("rep", "comp", "n_shingles"))
+        ids, comp = (group.column(c).to_numpy() for c in ("rep", "comp"))
+        band = group.column("band")[0].as_py()
         sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        items = [np.frombuffer(x, U64) for x in group.column("items").to_pylist()]
+        size = np.array([len(x) for x in items])
         a, b = [], []
         for k in range(len(ids) - 1):
-            near = (sign[k + 1 :] == sign[k]).sum(axis=1) >= LEAST_AGREEING
-            near &= comp[k + 1 :] != comp[k]
-            near &= 4 * np.minimum(size[k + 1 :], size[k]) >= 3 * np.maximum(size[k + 1 :], size[k])
-            hit = np.flatnonzero(near) + k + 1
-            a.append(np.minimum(ids[hit], ids[k]))
-            b.append(np.maximum(ids[hit], ids[k]))
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate(b))], ["a", "b"]) if len(a) else None
-
-    rest: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rest = rows if rest is None else pa.concat_tables([rest, rows])
-        cols = [rest.column(c).to_numpy() for c in names]
-        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-        edge = [0, *new.tolist()]
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a > 1 and (out := compare(rest.slice(a, b - a))):
-                yield out
-        rest = rest.slice(edge[-1]).combine_chunks()
-    if rest is not None and rest.num_rows > 1 and (out := compare(rest)):
-        yield out
+            near = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
+            rest = np.flatnonzero(near) + k + 1
+            same = sign[rest] == sign[k]
+            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            for x in rest[(same.sum(axis=1) >= LEAST_AGREEING) & (first >= band)]:
+                both = len(np.intersect1d(items[k], items[x], assume_unique=True))
+                if 100 * both >= percent * (size[k] + size[x] - both):
+                    a.append(ids[k])
+                    b.append(ids[x])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rest = rows if rest is None else pa.concat_tables([rest, rows])
+            cols = [rest.column(c).to_numpy() for c in names]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+            edge = [0, *new.tolist()]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1 and (out := compare(rest.slice(a, b - a))):
+                    yield out
+            rest = rest.slice(edge[-1]).combine_chunks()
+        if rest is not None and rest.num_rows > 1 and (out := compare(rest)):
+            yield out
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -167,8 +188,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     near = crowd.select(F.col("rep").alias("doc_id")).distinct()
     texts = settle(documents.select("doc_id", "text").join(near, "doc_id", "left_semi"))
 
-    links = settle(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
-    comp = settle(components(links))
+    none = documents.sparkSession.createDataFrame([], "node long, component long")
+    comp = none
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        return settle(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)))
 
     def placed(rows: DataFrame) -> DataFrame:
         at = comp.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -190,8 +214,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
             .distinct()
         )
-        links = links.unionAll(settle(_links(pairs, texts, percent)))
-        comp = settle(components(links))
+        comp = joined(comp, _links(pairs, texts, percent))
 
     rest = settle(apart(placed(crowd)))
     count = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -200,17 +223,20 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         rest.join(count, "key")
         .withColumn("own", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n_shingles")
-        .join(some.select(F.col("doc_id").alias("rep"), "sign"), "rep")
+        .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
+    )
+    sets = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        _sets, "rep long, sign binary, items binary"
     )
-    pairs = (
-        spread.repartition("key", "i", "j")
+    found = (
+        spread.join(settle(sets), "rep")
+        .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_block_pairs, "a long, b long")
-        .distinct()
+        .mapInArrow(_block_links(percent), "a long, b long")
     )
-    links = links.unionAll(settle(_links(pairs, texts, percent)))
-    comp = settle(components(links)).select(F.col("node").alias("doc_id"), "component")
+    comp = joined(comp, found)
+    comp = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    comp = comp.groupBy("doc_id").agg(F.min("component").alias("component"))
     return signed.select("doc_id", "n_shingles").join(comp, "doc_id", "left").select(
         "doc_id",
         "n_shingles",
