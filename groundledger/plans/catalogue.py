@@ -1,5 +1,29 @@
-"""All queries over the land-record operators, with their SQL."""
+"""Registry of the land-record queries: Spark plan and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function (spark, folder) under its name, with its SQL if it has one."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def FLAGSHIP(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
+    return QUERIES["a13_progress_by_location"](spark, folder)
+
+
+from . import aggregates, composites, relational, texts  # noqa: E402, F401
