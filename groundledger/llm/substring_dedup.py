@@ -47,7 +47,10 @@ def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     long = np.flatnonzero(np.diff(ends, prepend=0) > MAX_CHUNK)
     before = np.concatenate([[0], ends])
     more = [np.arange(before[k] + MAX_CHUNK, ends[k], MAX_CHUNK) for k in long]
-    return np.unique(np.concatenate([ends, *more]))
+    ends = np.concatenate([ends, *more])
+    for _ in range(3):  # an end inside a character moves behind it
+        ends += (data[np.minimum(ends, len(data) - 1)] & 0xC0 == 0x80) & (ends < len(data))
+    return np.unique(ends)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
