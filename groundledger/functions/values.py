@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Square metres of the area units.
 UNIT_SQM = {"SQ_METER": 1.0, "HECTARE": 10_000.0, "ACRE": 4_046.8564224, "SQ_YARD": 0.83612736, "SQ_FOOT": 0.09290304}
@@ -16,7 +17,7 @@ _DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0
 SCRIPTS = {"LATIN": "A-Za-z\\u00C0-\\u024F", "DEVANAGARI": "\\u0900-\\u097F", "BENGALI": "\\u0980-\\u09FF", "ARABIC": "\\u0600-\\u06FF"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C; Spark has no function for it."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
