@@ -3,7 +3,7 @@
 Features of a text are densities per word: words of a lexicon learned from the
 labelled sample (and its strongest window), the lexicon's words near a second
 person, capitals, punctuation and obfuscated words. The lexicon holds the words
-with the largest log-odds between toxic and other labelled texts. The trees are
+with the largest likelihood ratio between toxic and other labelled texts. The trees are
 Spark ML's; a share of the sample that they don't see calibrates them.
 
 The classifier is fitted on at most SAMPLE labelled rows, taken in the order of a
@@ -129,7 +129,7 @@ def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """The words of sample(text, toxic) with the largest smoothed log-odds, with their weights."""
+    """The words of sample(text, toxic) with the largest likelihood ratio, and their smoothed log-odds."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +147,11 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
     words = sample.select("text", "toxic").mapInArrow(counts, "word string, bad long, good long")
     words = words.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("good") + 0.1) / (n_good + 0.2))
-    z = odds / F.sqrt(1 / (F.col("bad") + 0.1) + 1 / (F.col("good") + 0.1))
-    rows = words.where("bad >= 3 and length(word) > 1").select("word", odds.alias("odds"), z.alias("z")).where("odds > 1 and z > 1.5")
-    return {r.word: r.odds for r in rows.orderBy(F.desc("z"), "word").limit(size).collect()}
+    # Likelihood ratio against equal shares of both classes: frequent and pure words come first.
+    all_, share = F.col("bad") + F.col("good"), n_bad / (n_bad + n_good)
+    gain = F.col("bad") * F.log((F.col("bad") + 0.1) / (all_ * share)) + F.col("good") * F.log((F.col("good") + 0.1) / (all_ * (1 - share)))
+    rows = words.where("bad >= 3 and length(word) > 1").select("word", odds.alias("odds"), gain.alias("gain")).where("odds > 1.5")
+    return {r.word: r.odds for r in rows.orderBy(F.desc("gain"), "word").limit(size).collect()}
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float], name: str = "features") -> DataFrame:
