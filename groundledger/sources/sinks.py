@@ -52,3 +52,21 @@ def reconcile_flags(flags: DataFrame, signals: DataFrame, keys: list[str], evalu
         .otherwise(F.col("status"))
         .alias("status"),
     )
+
+
+def feature(geometry: Column, properties: Column) -> Column:
+    """A GeoJSON feature of a geometry struct and a struct of properties."""
+    return F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
+
+
+def feature_collections(rows: DataFrame, key: str, order: list[str], geometry: Column, properties: Column) -> DataFrame:
+    """(key, geojson): one FeatureCollection for each key, such as a village, its features in the order given."""
+    own = rows.select(key, F.struct(*order, feature(geometry, properties).alias("_feature")).alias("_row"))
+    listed = own.groupBy(key).agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    return listed.select(key, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("_rows._feature").alias("features"))).alias("geojson"))
+
+
+def xml_records(rows: DataFrame, key: str, fields: list[str], tag: str = "RecordOfRights") -> DataFrame:
+    """(key, xml): a flat XML element of the fields; nulls are empty elements."""
+    flat = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields])
+    return rows.select(key, F.to_xml(flat, {"rowTag": tag}).alias("xml"))
