@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundledger.llm.decontamination import contaminated
-from groundledger.llm.mixing import mix
+from groundledger.llm.mixing import mix, n_words
 from groundledger.llm.near_dedup import near_duplicates
 from groundledger.llm.secret_scan import secret_scan, without_live_secrets
 from groundledger.llm.storage import settle, table
@@ -19,8 +19,10 @@ from groundledger.llm.toxicity import ToxicityModel
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score is below one half."""
+    """Documents whose calibrated score is below one half; all of them where the labels teach nothing."""
     model = ToxicityModel(docs, table(spark, sf_dir, "labels"))
+    if model.trees is None:
+        return docs
     return model.score(docs, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
@@ -43,10 +45,16 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words taken and the copies these make."""
-    taken = mix(docs).where("taken > 0")
-    plan = taken.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("copies").alias("copies"))
-    return docs.join(plan, "doc_id").select(*docs.columns, "taken", "copies")
+    """The documents that the mix takes, with the words taken and the copies these make.
+
+    Rows alike in id, source and size are given the larger of their shares, which
+    differ by a word at most. Columns named taken and copies are replaced.
+    """
+    keep = [c for c in docs.columns if c not in ("taken", "copies")]
+    keys = [F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]
+    plan = mix(docs).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"), F.max("copies").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
+    return docs.select(*keep).join(plan, same).select(*keep, "taken", "copies")
 
 
 STAGES = [
