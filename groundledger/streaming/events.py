@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.sinks import replace_partitions
+
 
 def changes_only(stream: DataFrame, key: str, payload: str) -> DataFrame:
     """Rows whose payload differs from the one emitted before for the key."""
@@ -54,3 +56,65 @@ def anchored_quota(stream: DataFrame, key: str, limit: int, seconds: int) -> Dat
 def once(stream: DataFrame, key: str, delay: str) -> DataFrame:
     """The first event of each key; keys are forgotten after the delay."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
+def quotas(stream: DataFrame, limits: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(quota, key, ts, accepted) for several quotas (name, key column, limit, seconds) of every event at once.
+
+    An event becomes a row for each quota, and each (quota, key) has a state and a
+    window of its own that its first event begins. Every quota counts every event;
+    an event passes if all of its rows are accepted.
+    """
+    rules = {name: (limit, seconds) for name, _, limit, seconds in limits}
+    each = F.array(*[F.struct(F.lit(name).alias("quota"), F.col(key).cast("string").alias("key")) for name, key, _, _ in limits])
+    rows = stream.select("ts", F.inline(each)).where("key is not null")
+
+    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        limit, seconds = rules[k[0]]
+        start, n = state.get if state.exists else (None, 0)
+        for frame in frames:
+            out = []
+            for ts in frame["ts"].sort_values():
+                if start is None or ts.timestamp() >= start + seconds:
+                    start, n = ts.timestamp(), 0
+                n += 1
+                out.append((*k, ts, n <= limit))
+            yield pd.DataFrame(out, columns=["quota", "key", "ts", "accepted"])
+        if start is not None:
+            state.update((start, n))
+
+    return rows.groupBy("quota", "key").applyInPandasWithState(
+        count, "quota string, key string, ts timestamp, accepted boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def replays(stream: DataFrame, token: str, expires: str, delay: str) -> DataFrame:
+    """(token, ts, replayed): whether a token was used before and hadn't expired; it is forgotten once the watermark passes its expiry."""
+
+    def use(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else None
+        for frame in frames:
+            out = []
+            for row in frame.sort_values("ts").itertuples():
+                again = until is not None and row.ts.timestamp() < until
+                until = until if again else row.expires.timestamp()
+                out.append((k[0], row.ts, again))
+            yield pd.DataFrame(out, columns=[token, "ts", "replayed"])
+        if until is not None:
+            state.update((until,))
+            state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+
+    rows = stream.withWatermark("ts", delay).select(F.col(token).cast("string").alias(token), "ts", F.col(expires).alias("expires"))
+    return rows.groupBy(token).applyInPandasWithState(use, f"{token} string, ts timestamp, replayed boolean", "until double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replace_by_document(path: str, document: str):
+    """A foreachBatch sink that replaces the partitions of a batch's documents, so that a batch delivered again changes nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        replace_partitions(batch, path, document)
+
+    return write
