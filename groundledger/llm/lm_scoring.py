@@ -1,18 +1,18 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-States are contexts of up to two words, arcs the kept n-grams with their
-log-probabilities, and a failure arc leads from a context to the one without its
-first word, at the cost of the backoff weight; at the root every word of the
-training texts has a probability, and all others share that of the unknown word.
-A text is read from left to right in one traversal that carries the state and
-adds up log-probabilities. Counts are smoothed by absolute discounting.
-
-All counts cover all training texts. The states' words are the VOCABULARY most
-frequent ones; n-grams of two and three of them are counted level by level (a
-trigram needs both of its bigrams), and the count that an n-gram needs rises
-until ARCS of a level are left. This bounds what is broadcast. Words outside the
-vocabulary take their failure arcs to the root, and their own counts come from a
-join on the words, so the frequent words, which would skew it, never reach it.
+States are contexts of up to two words, arcs all n-grams of the training texts
+with their log-probabilities, and a failure arc leads from a context to the one
+without its first word, at the cost of the backoff weight; at the root every
+word of the training texts has a probability, and all others share that of the
+unknown word. Counts are smoothed by absolute discounting.
+
+No n-gram is left out, whatever the size of the corpus. The texts are cut into
+lots of about LOT_TOKENS tokens. A lot asks for each of its distinct n-grams
+once, in blobs by bucket of the key; a bucket adds up the counts of all lots and
+answers every blob in its order. So a frequent n-gram costs one entry a lot, and
+no key is hot. A second round adds up the arcs of every context, each sent by
+the one lot that its bucket chose, and answers the contexts whose failure arcs
+held-out texts take. N-grams are known by 64-bit hashes.
 
 Defined cases: null and empty texts are one end token; without any training
 token every token is unknown; a row without doc_id is not held out; repeated
@@ -21,7 +21,7 @@ rows count and score once each; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -30,18 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import settle
-from .words import U64, find_words, parts
+from .words import _MULT, U64, find_words, mix, parts
 
 DISCOUNT = 0.7
-VOCABULARY, ARCS = 1 << 17, 400_000
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text is a token; it is also the context that a text begins in.
 END = U64(0x0F0E0D0C0B0A0908)
-_ID_BITS = 18
-#: Words of a text that are traversed together; the two words before give the first state.
-SEGMENT = 512
-#: Distinct n-grams that a task holds before it passes them on.
-HELD_ROWS = 1_000_000
+#: Tokens of a lot, and tokens for each bucket; both bound the arrays of a task.
+LOT_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -49,274 +45,300 @@ def held_out(ids: pa.Array) -> np.ndarray:
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text with its end, and the offsets of the texts."""
+    """Hashes of all tokens, each text with an end before and after it, and the offsets of the texts."""
     words = find_words(part.column("text"))
-    return np.insert(words.hash, words.off[1:], END), words.off + np.arange(len(words.off))
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    value, back = np.unique(key, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.bincount(back, n, len(value)).astype(np.int64))], names)
-
-
-def _counts(keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> Callable:
-    """A mapInArrow function of (key, n), summed within lots of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for part in parts(batches):
-            key, weight = keys_of(part)
-            value, back = np.unique(key, return_inverse=True)
-            held.append((value, np.bincount(back, weight, len(value))))
-            size += len(value)
-            if size > HELD_ROWS:
-                yield _summed(held, ["key", "n"])
-                size = 0
-        if held:
-            yield _summed(held, ["key", "n"])
-
-    return run
-
-
-def _word_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All words, those of held-out texts with a weight of 0."""
-    h, off = _tokens(part)
-    return h, np.repeat(~held_out(part.column("doc_id")), np.diff(off)).astype(float)
-
-
-class Vocabulary:
-    """The most frequent words by number; others are -1."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        value, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, value), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == value, at, -1)[back]
-
-
-def _sequence(part: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the training texts' tokens, an end before each text, and whether a text begins there."""
-    h, off = _tokens(part)
-    keep = np.repeat(~held_out(part.column("doc_id")), np.diff(off))
-    first = np.zeros(len(h), bool)
-    first[off[:-1]] = True
-    h, first = h[keep], np.flatnonzero(first[keep])
-    number = vocabulary.numbers(np.insert(h, first, END))
-    begin = np.zeros(len(number), bool)
-    begin[first + np.arange(len(first))] = True
-    return number, begin
-
-
-def _pairs(number: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each token with the one before, and whether both are known in one text."""
-    key = (number[:-1] << _ID_BITS) | np.maximum(number[1:], 0)
-    return key, (number[:-1] >= 0) & (number[1:] >= 0) & ~begin[1:]
-
-
-class Automaton:
-    """Arcs sorted by (state, word): state 0 is the root, state 1 + w the context w, later ones pairs."""
-
-    def __init__(self, vocabulary: Vocabulary, total: int, distinct: int, pairs: pa.Table, triples: pa.Table) -> None:
-        size = len(vocabulary.hashes)
-        self.unknown = np.log10(DISCOUNT * distinct / total) if total else 0.0
-        self.root = np.log10((vocabulary.counts - DISCOUNT) / max(total, 1)) if size else np.zeros(0)
-        p1 = 10.0**self.root
-        key, n = (pairs.column(c).to_numpy() for c in ("key", "n"))
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        left, right = key >> _ID_BITS, key & (1 << _ID_BITS) - 1
-        p2 = (n - DISCOUNT) / vocabulary.counts[left] if size else np.zeros(0)
-        backoff2 = self._backoff(left, p2, p1[right] if size else p2, size)
-
-        key3, n3 = (triples.column(c).to_numpy() for c in ("key", "n"))
-        order = np.argsort(key3)
-        key3, n3 = key3[order], n3[order]
-        # A triple's key is the place of its first pair among the sorted pairs, and its last word.
-        first, last = key3 >> _ID_BITS, key3 & (1 << _ID_BITS) - 1
-        context, state3 = np.unique(first, return_inverse=True)
-        p3 = (n3 - DISCOUNT) / n[first] if len(n3) else np.zeros(0)
-        middle = right[first] if len(n3) else first
-        at = np.minimum(np.searchsorted(key, (middle << _ID_BITS) | last), max(len(key) - 1, 0)) if len(n3) else first
-        lower = p2[at] if len(n3) else p3  # a kept triple's last pair is kept
-        backoff3 = self._backoff(state3, p3, lower, len(context))
-
-        self.backoff = np.log10(np.concatenate([[1.0], backoff2, backoff3]))
-        self.fail = np.concatenate([[0], np.zeros(size, np.int64), 1 + right[context] if len(context) else np.zeros(0, np.int64)])
-        # Where a pair arc leads: the state of that pair if it has arcs, else that of its second word.
-        to2 = 1 + right
-        to2[context] = 1 + size + np.arange(len(context))
-        self.arc = np.concatenate([((1 + left) << _ID_BITS) | right, ((1 + size + state3) << _ID_BITS) | last])
-        self.weight = np.log10(np.concatenate([p2, p3]))
-        self.to = np.concatenate([to2, to2[at] if len(n3) else np.zeros(0, np.int64)])
-        self.pair_keys = key
-
-    @staticmethod
-    def _backoff(state: np.ndarray, p: np.ndarray, lower: np.ndarray, size: int) -> np.ndarray:
-        rest = 1 - np.bincount(state, p, size)
-        return np.maximum(rest, 1e-9) / np.maximum(1 - np.bincount(state, lower, size), 1e-9)
-
-    def traverse(self, number: np.ndarray, off: np.ndarray, start: int) -> np.ndarray:
-        """Log-probability of every text (start begins it); unknown words cost their failure arcs only."""
-        cut = [np.arange(a, b, SEGMENT) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        text = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        begin = np.concatenate(cut)
-        stop = np.minimum(begin + SEGMENT, off[1:][text])
-        state = np.where(begin == off[:-1][text], start, 0)
-        at = np.maximum(begin - 2, off[:-1][text])
-        out = np.zeros(len(begin))
-        live = np.arange(len(begin))
-        while len(live):
-            word = number[at[live]]
-            here = state[live]
-            cost = np.zeros(len(live))
-            target = np.where(word >= 0, word + 1, 0)
-            open_ = np.arange(len(live))
-            while len(open_):
-                root = here[open_] == 0
-                mine = open_[root]
-                known = mine[word[mine] >= 0]
-                cost[known] += self.root[word[known]]
-                open_ = open_[~root]
-                if not len(open_):
-                    break
-                want = (here[open_] << _ID_BITS) | np.maximum(word[open_], 0)
-                k = np.minimum(np.searchsorted(self.arc, want), max(len(self.arc) - 1, 0))
-                hit = (word[open_] >= 0) & (self.arc[k] == want) if len(self.arc) else np.zeros(len(open_), bool)
-                mine = open_[hit]
-                cost[mine] += self.weight[k[hit]]
-                target[mine] = self.to[k[hit]]
-                open_ = open_[~hit]
-                cost[open_] += self.backoff[here[open_]]
-                here[open_] = self.fail[here[open_]]
-            state[live] = target
-            # The words before a segment only set its state.
-            out[live] += np.where(at[live] >= begin[live], cost, 0)
-            at[live] += 1
-            live = live[at[live] < stop[live]]
-        return np.bincount(text, out, len(cut))
-
-
-def _kept(grams: DataFrame, most: int) -> pa.Table:
-    """The n-grams that occur twice or more, the needed count doubled until `most` are left."""
-    level = F.floor(F.log2("n")).cast("int")
-    above, least = 0, 2
-    for k, many in sorted(grams.groupBy(level.alias("k")).count().collect(), reverse=True):
-        above += many
-        if above > most:
-            least = 1 << (k + 1)
-            break
-    return grams.where(F.col("n") >= least).toArrow()
-
-
-def _grams(texts: DataFrame, keys_of: Callable) -> DataFrame:
-    """(key, n) of the n-grams that occur twice or more; tasks have summed their own before."""
-    rows = texts.mapInArrow(_counts(keys_of), "key long, n long")
-    return settle(rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"))
-
-
-def lm_scores(documents: DataFrame, vocabulary_size: int = VOCABULARY, most_arcs: int = ARCS) -> DataFrame:
+    after = np.insert(words.hash, words.off[1:], END)
+    off = words.off + np.arange(len(words.off))
+    return np.insert(after, off[:-1], END), off + np.arange(len(off))
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each lot of texts: their ids and folds, the lot's distinct words and their numbers in the texts."""
+    kept: list[tuple] = []
+
+    def lot() -> pa.RecordBatch:
+        ids, held, size, tokens = (list(x) for x in zip(*kept, strict=True))
+        kept.clear()
+        ids = pa.concat_arrays(ids)
+        words, number = np.unique(np.concatenate(tokens), return_inverse=True)
+        blobs = (np.concatenate(held), np.concatenate(size).astype(np.int64), words, number.astype(np.int32))
+        many = len(number) - len(ids)
+        train = int(((blobs[1] - 1) * ~blobs[0]).sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([many], pa.int64()), pa.array([train], pa.int64())]
+            + [_binary([x.tobytes()]) for x in blobs],
+            ["ids", "tokens", "train", "held", "size", "words", "number"],
+        )
+
+    for part in parts(batches):
+        tokens, off = _tokens(part)
+        kept.append((part.column("doc_id").cast(pa.int64()), held_out(part.column("doc_id")), np.diff(off), tokens))
+        if sum(len(x[3]) for x in kept) >= LOT_TOKENS:
+            yield lot()
+    if kept:
+        yield lot()
+
+
+class Lot:
+    """The distinct n-grams of a lot in the order words, pairs, triples, and the tokens' places among them."""
+
+    def __init__(self, row: dict) -> None:
+        self.words = np.frombuffer(row["words"], U64)
+        self.held = np.frombuffer(row["held"], bool)
+        size = np.frombuffer(row["size"], np.int64)
+        number = np.frombuffer(row["number"], np.int32).astype(np.int64)
+        self.many = len(self.words)
+        token = np.ones(len(number), bool)
+        token[np.cumsum(size) - size] = False
+        at = np.flatnonzero(token)
+        #: Of every token: its text, its word, the word before, whether two tokens are before.
+        self.text = np.repeat(np.arange(len(size)), size - 1)
+        self.word, self.before = number[at], number[at - 1]
+        self.deep = np.flatnonzero(token[at - 1])
+        pairs, self.pair = np.unique(self.before * self.many + self.word, return_inverse=True)
+        triples, first, self.triple = np.unique(
+            self.pair[self.deep - 1] * self.many + self.word[self.deep], return_index=True, return_inverse=True
+        )
+        self.left, self.right = pairs // self.many, pairs % self.many
+        #: The first and the last pair of every triple.
+        self.head, self.tail = triples // self.many, self.pair[self.deep[first]]
+        self.contexts = np.concatenate([self.words, mix(self.words[self.left] * _MULT + self.words[self.right] + U64(2))])
+        last = self.words[triples % self.many]
+        self.keys = np.concatenate([self.contexts, mix(self.contexts[self.many :][self.head] * _MULT + last + U64(3))])
+
+    def counts(self) -> np.ndarray:
+        """Of every n-gram twice its count in the lot's training texts, and 1 if a held-out text has it."""
+        held = self.held[self.text]
+        out = []
+        for at, aside, many in ((self.word, held, self.many), (self.pair, held, len(self.left)), (self.triple, held[self.deep], len(self.head))):
+            n = 2 * np.bincount(at[~aside], minlength=many)
+            n[at[aside]] += 1 - n[at[aside]] % 2
+            out.append(n)
+        # A text begins in the state of its end token.
+        if self.held.any():
+            out[0][np.searchsorted(self.words, END)] |= 1
+        return np.concatenate(out)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int, words: int = 0) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by bucket and key, and (bucket, from, to) of the runs in it; the first keys have buckets of their own."""
+    bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    few = -(-buckets // 8)
+    bucket[:words] = buckets + bucket[:words] % few
+    order = np.lexsort((keys, bucket))
+    edge = np.searchsorted(bucket[order], np.arange(buckets + few + 1))
+    return order, [(b, int(edge[b]), int(edge[b + 1])) for b in range(buckets + few) if edge[b] < edge[b + 1]]
+
+
+def _packed(values: np.ndarray, ordered: bool = False) -> bytes:
+    """Values of 8 bytes (as differences, if they are ordered) by planes of bytes, compressed."""
+    raw = np.diff(values, prepend=values.dtype.type(0)) if ordered else values
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type, ordered: bool = False) -> list[np.ndarray]:
+    out = []
+    for blob in column.to_pylist():
+        many = int.from_bytes(blob[:4], "little")
+        planes = np.frombuffer(pa.decompress(blob[4:], decompressed_size=8 * many, codec="zstd", asbytes=True), np.uint8)
+        value = np.ascontiguousarray(planes.reshape(8, many).T).view(kind)[:, 0]
+        out.append(np.cumsum(value, dtype=kind) if ordered else value)
+    return out
+
+
+def _binary(blobs: list[bytes]) -> pa.Array:
+    return pa.array(blobs, pa.binary())
+
+
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *arrays])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Answers of one bucket to all lots: four times the count of each n-gram, 2 if a held-out text has it, 1 for the lot that owns it."""
+    lists = _unpacked(table.column("keys"), U64, ordered=True)
+    size = np.array([len(x) for x in lists])
+    keys, n = np.concatenate(lists), np.concatenate(_unpacked(table.column("n"), np.int64))
+    value, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    total, held = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    np.add.at(total, back, n >> 1)
+    held[back[n & 1 == 1]] = True
+    answer = (4 * total + 2 * held)[back]
+    answer[first] += 1
+    known = np.zeros(len(size), np.int64)
+    known[0] = (total > 0).sum()
+    start = np.cumsum(size) - size
+    return pa.table(
+        [table.column("lot"), table.column("bucket"), pa.array(known), _binary([_packed(answer[a : a + k]) for a, k in zip(start, size, strict=True)])],
+        ["lot", "bucket", "known", "answer"],
+    )
+
+
+def _weighed(table: pa.Table) -> pa.Table:
+    """Answers of one bucket: arcs of each asked context and the sum of their lower probabilities."""
+    lists = _unpacked(table.column("keys"), U64, ordered=True)
+    size = np.array([len(x) for x in lists])
+    arcs, lower = (np.concatenate(_unpacked(table.column(c), t)) for c, t in (("arcs", np.int64), ("lower", float)))
+    value, back = np.unique(np.concatenate(lists), return_inverse=True)
+    many = np.bincount(back, arcs >> 1, len(value)).astype(np.int64)[back]
+    sums = np.bincount(back, lower, len(value))[back]
+    asked = arcs & 1 == 1
+    cut = [slice(a, a + k) for a, k in zip(np.cumsum(size) - size, size, strict=True)]
+    return pa.table(
+        [
+            table.column("lot"),
+            table.column("bucket"),
+            _binary([_packed(many[c][asked[c]]) for c in cut]),
+            _binary([_packed(sums[c][asked[c]]) for c in cut]),
+        ],
+        ["lot", "bucket", "arcs", "lower"],
+    )
+
+
+def lm_scores(documents: DataFrame) -> DataFrame:
     """Base and model scores of every row of documents(doc_id, text), learning from those not held out."""
-    spark = documents.sparkSession
-    texts = documents.select("doc_id", "text")
-    words = texts.mapInArrow(_counts(_word_keys), "key long, n long")
-    words = settle(words.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "key").limit(vocabulary_size).toArrow()
-    vocabulary = Vocabulary(top.column("key").to_numpy().view(U64), top.column("n").to_numpy())
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def pair_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        key, both = _pairs(*_sequence(part, shared.value))
-        return key[both], np.ones(int(both.sum()))
-
-    pairs = _kept(_grams(texts, pair_keys), most_arcs)
-    known = spark.sparkContext.broadcast(np.sort(pairs.column("key").to_numpy()))
-
-    def triple_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        number, begin = _sequence(part, shared.value)
-        key, both = _pairs(number, begin)
-        if not len(known.value) or not len(key):
-            return np.zeros(0, np.int64), np.zeros(0)
-        place = np.minimum(np.searchsorted(known.value, key), len(known.value) - 1)
-        both &= known.value[place] == key
-        all_ = both[:-1] & both[1:]
-        out = (place[:-1] << _ID_BITS) | np.maximum(number[2:], 0)
-        return out[all_], np.ones(int(all_.sum()))
-
-    triples = _kept(_grams(texts, triple_keys), most_arcs)
-    model = Automaton(vocabulary, total, distinct, pairs, triples)
-    unknown = model.unknown
-    automaton = spark.sparkContext.broadcast(model)
-    del pairs, triples, model, top
+    lots = settle(
+        documents.select("doc_id", "text")
+        .mapInArrow(_lots, "ids array<long>, tokens long, train long, held binary, size binary, words binary, number binary")
+        .withColumn("lot", F.monotonically_increasing_id())
+    )
+    zero = F.lit(0)
+    tokens, total = lots.agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("train"), zero)).first()
+    buckets = max(8, -(-tokens // BUCKET_TOKENS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                lot = Lot(row)
+                n = lot.counts()
+                order, runs = _by_bucket(lot.keys, buckets, lot.many)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["lot"]] * len(runs), pa.int64()),
+                        pa.array([b for b, _, _ in runs], pa.int32()),
+                        _binary([_packed(lot.keys[order[x:y]], ordered=True) for _, x, y in runs]),
+                        _binary([_packed(n[order[x:y]]) for _, x, y in runs]),
+                    ],
+                    ["lot", "bucket", "keys", "n"],
+                )
+
+    answers = settle(
+        lots.mapInArrow(ask, "lot long, bucket int, keys binary, n binary")
+        .groupBy("bucket")
+        .applyInArrow(_counted, "lot long, bucket int, known long, answer binary")
+    )
+    distinct = answers.where(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("known"), zero)).first()[0]
     smooth = total + 0.5 * (distinct + 1)
+    unknown = DISCOUNT * distinct / total if total else 1.0
+    first = "lot long, bucket int, keys binary, arcs binary, lower binary, ids array<long>, held binary, many binary, score binary, step binary"
+    names = [c.split()[0] for c in first.split(", ")]
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A lot's sums over known arcs, the failure arcs still to be weighed, and what it adds to its contexts."""
+        row = left.to_pylist()[0]
+        lot = Lot(row)
+        order, _ = _by_bucket(lot.keys, buckets, lot.many)
+        answer = np.zeros(len(order), np.int64)
+        answer[order] = np.concatenate(_unpacked(right.sort_by("bucket").column("answer"), np.int64))
+        n, owned = answer >> 2, answer & 1 == 1
+        wanted = (answer & 2 == 2)[: len(lot.contexts)]
+        n1, n2, n3 = np.split(n.astype(float), [lot.many, lot.many + len(lot.left)])
+        own2, own3 = np.split(owned, [lot.many, lot.many + len(lot.left)])[1:]
+        p1 = np.where(n1 > 0, (n1 - DISCOUNT) / max(total, 1), unknown)
+        p2 = (n2 - DISCOUNT) / np.maximum(n1[lot.left], 1)
+        p3 = (n3 - DISCOUNT) / np.maximum(n2[lot.head], 1)
+
+        tokens = np.arange(len(lot.word))
+        deep = np.zeros(len(tokens), bool)
+        deep[lot.deep] = True
+        triple = np.zeros(len(tokens), np.int64)
+        triple[lot.deep] = lot.triple
+        hit3 = deep.copy()
+        hit3[lot.deep] = n3[lot.triple] > 0
+        hit2 = ~hit3 & (n2[lot.pair] > 0)
+        root = ~hit3 & ~hit2
+        p = np.ones(len(tokens))
+        p[hit3] = p3[triple[hit3]]
+        p[hit2] = p2[lot.pair[hit2]]
+        p[root] = p1[lot.word[root]]
+        # Failure arcs: from a pair that is a state, and from a word that is one.
+        pair = np.flatnonzero(deep & ~hit3)
+        pair = pair[n2[lot.pair[pair - 1]] > 0]
+        word = np.flatnonzero(root & (n1[lot.before] > 0))
+        step = np.concatenate([lot.many + lot.pair[pair - 1], lot.before[word]])
+        texts = len(lot.held)
+
+        arcs = np.zeros(len(lot.contexts))
+        lower = np.zeros(len(lot.contexts))
+        two, three = own2 & (n2 > 0), own3 & (n3 > 0)
+        for at, value in ((lot.left[two], p1[lot.right[two]]), (lot.many + lot.head[three], p2[lot.tail[three]])):
+            arcs += np.bincount(at, minlength=len(arcs))
+            lower += np.bincount(at, value, len(arcs))
+        asked = np.zeros(len(arcs), bool)
+        asked[step] = True
+        # Only contexts that a held-out text has can be asked for.
+        sent = np.flatnonzero(asked | (wanted & (arcs > 0)))
+        sort, runs = _by_bucket(lot.contexts[sent], buckets)
+        sent = sent[sort]
+        place = np.full(len(arcs), -1, np.int64)
+        place[sent[asked[sent]]] = np.arange(int(asked.sum()))
+        many = np.stack([np.bincount(lot.text, minlength=texts), np.bincount(lot.text, n1[lot.word] > 0, texts).astype(np.int64)])
+        base = np.bincount(lot.text, np.log10((n1 + 0.5) / smooth)[lot.word], texts)
+        score = np.bincount(lot.text, np.log10(p), texts)
+        steps = np.stack([np.concatenate([lot.text[pair], lot.text[word]]), place[step], n[step]])
+
+        cut = [sent[x:y] for _, x, y in runs]
+        k = len(cut)
+        blobs = [
+            [_packed(lot.contexts[c], ordered=True) for c in cut],
+            [_packed(2 * arcs[c].astype(np.int64) + asked[c]) for c in cut],
+            [_packed(lower[c]) for c in cut],
+        ]
+        state = [row["held"], many.tobytes(), np.stack([base, score]).tobytes(), steps.tobytes()]
+        return pa.table(
+            [
+                pa.array([row["lot"]] * (k + 1), pa.int64()),
+                pa.array([b for b, _, _ in runs] + [-1], pa.int32()),
+                *[_binary(b + [None]) for b in blobs],
+                pa.array([None] * k + [row["ids"]], pa.list_(pa.int64())),
+                *[_binary([None] * k + [x]) for x in state],
+            ],
+            names,
+        )
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document: what its vocabulary words give, and its other words."""
-        own, auto = shared.value, automaton.value
-        base = np.log10((own.counts + 0.5) / smooth)
-        start = int(own.numbers(np.array([END]))[0]) + 1
-        for part in parts(batches):
-            h, off = _tokens(part)
-            number = own.numbers(h)
-            row = np.repeat(np.arange(part.num_rows), np.diff(off))
-            hot = number >= 0
-
-            value = np.stack([row[~hot].astype(U64), h[~hot]])
-            order = np.lexsort((value[1], value[0]))
-            r, w = value[0][order], value[1][order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            rare, times = w[at].view(np.int64), np.diff(np.append(at, len(r))).astype(np.int32)
-            edge = pa.array(np.searchsorted(r[at], np.arange(part.num_rows + 1, dtype=U64)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array(held_out(part.column("doc_id"))),
-                    pa.array(np.diff(off), pa.int64()),
-                    pa.array(np.bincount(row[hot], minlength=part.num_rows), pa.int64()),
-                    pa.array(np.bincount(row[hot], base[number[hot]], part.num_rows)),
-                    pa.array(auto.traverse(number, off, start)),
-                    pa.ListArray.from_arrays(edge, pa.array(rare)),
-                    pa.ListArray.from_arrays(edge, pa.array(times)),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score_hot", "rare", "times"],
-            )
-
-    docs = settle(
-        texts.mapInArrow(
-            scored,
-            "doc_id long, held_out boolean, n_tokens long, n_hot long, base_hot double, score_hot double, rare array<long>, times array<int>",
-        ).withColumn("row", F.monotonically_increasing_id())
+    walked = settle(lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(walk, first))
+    weights = (
+        walked.where("bucket >= 0")
+        .select("lot", "bucket", "keys", "arcs", "lower")
+        .groupBy("bucket")
+        .applyInArrow(_weighed, "lot long, bucket int, arcs binary, lower binary")
     )
-    rows = docs.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    base = F.log10((n + 0.5) / F.lit(float(smooth)))
-    score = F.when(n > 0, F.log10((n - DISCOUNT) / F.lit(float(max(total, 1))))).otherwise(F.lit(float(unknown)))
-    rare = (
-        rows.join(words.hint("shuffle_hash"), "key", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_rare"),
-            F.sum(F.col("times") * base).alias("base_rare"),
-            F.sum(F.col("times") * score).alias("score_rare"),
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        right = right.sort_by("bucket")
+        arcs, lower = (_joined(_unpacked(right.column(c), t), t) for c, t in (("arcs", np.int64), ("lower", float)))
+        many = np.frombuffer(row["many"], np.int64).reshape(2, -1)
+        base, score = np.frombuffer(row["score"]).reshape(2, -1)
+        text, at, n = np.frombuffer(row["step"], np.int64).reshape(3, -1)
+        weight = np.maximum(DISCOUNT * arcs[at] / n, 1e-9) / np.maximum(1 - lower[at], 1e-9)
+        score = score + np.bincount(text, np.log10(weight), len(score))
+        return pa.table(
+            [
+                pa.array(row["ids"], pa.int64()),
+                pa.array(np.frombuffer(row["held"], bool)),
+                pa.array(many[0]),
+                pa.array(many[1]),
+                pa.array(np.full(len(base), total, np.int64)),
+                pa.array(base),
+                pa.array(score),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
-    )
-    zero = F.lit(0.0)
-    return docs.drop("rare", "times").join(rare, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_hot") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_hot") + F.coalesce("base_rare", zero)).alias("base_score"),
-        (F.col("score_hot") + F.coalesce("score_rare", zero)).alias("score"),
+
+    state = walked.where("bucket < 0").select("lot", "ids", "held", "many", "score", "step")
+    return state.groupBy("lot").cogroup(weights.groupBy("lot")).applyInArrow(
+        finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -236,3 +236,34 @@ def test_pipeline_removes_and_keeps(spark):
     after = corpus_pipeline.run(spark, d)
     assert 0.5 * before.count() < after.count() <= before.count()
     assert set(before.columns) <= set(after.columns)
+
+
+def test_lm_scores_keep_all_ngrams(docs, texts):
+    """Every n-gram of the training texts is an arc, those that occur once too."""
+    held = {k: crc32(str(k).encode()) % 5 == 1 for k in texts}
+    n = [Counter() for _ in range(4)]
+    for k in [*texts, max(texts)]:
+        if not held[k]:
+            w = ["\n", *words(texts[k]), "\n"]
+            n[1].update((x,) for x in w[1:])
+            for size in (2, 3):
+                n[size].update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    total, after = n[1].total(), {}
+    for size in (2, 3):
+        for g in n[size]:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def p(context, word):
+        if not context:
+            return (n[1][word,] - 0.7) / total if n[1][word,] else 0.7 * len(n[1]) / total
+        gram = (*context, word)
+        if n[len(gram)][gram]:
+            return (n[len(gram)][gram] - 0.7) / n[len(context)][context]
+        if context not in after:
+            return p(context[1:], word)
+        rest = 0.7 * len(after[context]) / n[len(context)][context]
+        return max(rest, 1e-9) / max(1 - sum(p(context[1:], w) for w in after[context]), 1e-9) * p(context[1:], word)
+
+    for r in lm_scores(docs).collect():
+        w = ["\n", *words(texts[r.doc_id]), "\n"]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w))))
