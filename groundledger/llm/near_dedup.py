@@ -63,15 +63,20 @@ def super_minhash(items: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> np.
     return sign
 
 
+def _bands(sign: np.ndarray) -> np.ndarray:
+    """Bucket keys (texts, BANDS) of mixed signatures."""
+    bands = np.zeros((len(sign), BANDS), U64)
+    for k in range(ROWS):
+        bands = mix(bands + sign[:, k::ROWS])
+    return mix(bands + np.arange(BANDS, dtype=U64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts(batches):
         items, off = shingle_sets(part.column("text"))
         count = np.diff(off)
         sign = mix(super_minhash(items, off).view(U64))
-        bands = np.zeros((len(count), BANDS), U64)
-        for k in range(ROWS):
-            bands = mix(bands + sign[:, k::ROWS])
-        bands = mix(bands + np.arange(BANDS, dtype=U64))
+        bands = _bands(sign)
         total = np.concatenate([[U64(0)], np.cumsum(mix(items + U64(77)), dtype=U64)])
         other = np.concatenate([[U64(0)], np.cumsum(mix(items + U64(991)), dtype=U64)])
         yield pa.RecordBatch.from_arrays(
@@ -110,20 +115,21 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts(batches):
         items, off = shingle_sets(part.column("text"))
-        sign = (mix(super_minhash(items, off).view(U64)) & U64(255)).astype(np.uint8)
+        full = mix(super_minhash(items, off).view(U64))
+        sign, bands = (full & U64(255)).astype(np.uint8), _bands(full)
         value = [items[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in sign], pa.binary()), pa.array(value, pa.binary())],
-            ["rep", "sign", "items"],
+            [part.column("doc_id").cast(pa.int64()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in (sign, bands)), pa.array(value, pa.binary())],
+            ["rep", "sign", "bands", "items"],
         )
 
 
 def _block_links(percent: int):
-    """Links within block pairs, whose rows (key, i, j, band, rep, comp, sign, items) come together.
+    """Links within block pairs, whose rows (key, i, j, band, rep, comp, sign, bands, items) come together.
 
     A block pair has some 2 * BLOCK rows. Pairs that are joined already, that an
-    earlier band holds too, or whose signatures differ too much are passed over;
-    the full sets decide on the others, and only links leave the task.
+    earlier band holds too (by the keys that make the buckets), or whose
+    signatures differ too much are passed over; the full sets decide on the others, and only links leave the task.
     """
     names = ("key", "i", "j")
 
@@ -131,15 +137,16 @@ def _block_links(percent: int):
         ids, comp = (group.column(c).to_numpy() for c in ("rep", "comp"))
         band = group.column("band")[0].as_py()
         sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), np.uint8).reshape(-1, SLOTS)
+        bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), U64).reshape(-1, BANDS)
         items = [np.frombuffer(x, U64) for x in group.column("items").to_pylist()]
         size = np.array([len(x) for x in items])
         a, b = [], []
         for k in range(len(ids) - 1):
             near = (comp[k + 1 :] != comp[k]) & (100 * np.minimum(size[k + 1 :], size[k]) >= percent * np.maximum(size[k + 1 :], size[k]))
             rest = np.flatnonzero(near) + k + 1
-            same = sign[rest] == sign[k]
-            first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            for x in rest[(same.sum(axis=1) >= LEAST_AGREEING) & (first >= band)]:
+            same = (sign[rest] == sign[k]).sum(axis=1)
+            first = (bands[rest] == bands[k]).argmax(axis=1)
+            for x in rest[(same >= LEAST_AGREEING) & (first == band)]:
                 both = len(np.intersect1d(items[k], items[x], assume_unique=True))
                 if 100 * both >= percent * (size[k] + size[x] - both):
                     a.append(ids[k])
@@ -226,7 +233,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
     )
     sets = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
-        _sets, "rep long, sign binary, items binary"
+        _sets, "rep long, sign binary, bands binary, items binary"
     )
     found = (
         spread.join(settle(sets), "rep")

@@ -8,9 +8,11 @@ from collections import Counter
 from itertools import combinations
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from groundledger.llm import near_dedup
 from groundledger.llm import queries as q
 from groundledger.llm.decontamination import contaminated
 from groundledger.llm.license_scan import license_scan
@@ -267,3 +269,26 @@ def test_lm_scores_keep_all_ngrams(docs, texts):
     for r in lm_scores(docs).collect():
         w = ["\n", *words(texts[r.doc_id]), "\n"]
         assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w))))
+
+
+def test_near_duplicates_in_crowded_buckets():
+    """600 distinct texts share most buckets; each one's only near copy is its neighbour."""
+    rng = random.Random(1)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, texts = some(200), []
+    for _ in range(300):
+        own = some(60)
+        texts += [" ".join(common + own + some(36)) for _ in range(2)]
+    sets = [shingles(t) for t in texts]
+    near = [(a, b) for a, b in combinations(range(600), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert near == [(k, k + 1) for k in range(0, 600, 2)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    sets = pa.Table.from_batches(near_dedup._sets([rows]))
+    bands = [b for x in near_dedup._signatures([rows]) for b in x.column("bands").to_pylist()]
+    found = []
+    for key, band in sorted({(key, band) for own in bands for band, key in enumerate(own)}):
+        mine = [k for k in range(600) if bands[k][band] == key]
+        block = {c: pa.array([v] * len(mine), pa.int64()) for c, v in (("key", key), ("i", 0), ("j", 0), ("band", band))}
+        block |= {"comp": pa.array(mine)} | {c: sets.column(c).take(pa.array(mine)).combine_chunks() for c in sets.column_names}
+        found += [(x["a"], x["b"]) for out in near_dedup._block_links(75)(iter([pa.RecordBatch.from_pydict(block)])) for x in out.to_pylist()]
+    assert sorted(found) == near  # each once: only in the first bucket that a pair shares
