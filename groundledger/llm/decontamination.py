@@ -1,16 +1,11 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact similarity.
+"""Benchmark decontamination: an inverted index of shingles, then exact similarity.
 
-Every item and every window of an item's size (in words) gets a 128-bit SimHash
-over its words. The fingerprints of the items are indexed by RADIUS + 1 disjoint
-blocks of bits: two fingerprints within RADIUS bits agree on one block at least,
-so the index proposes every item within the radius. Candidates are verified by
-the weighted Jaccard similarity of their 5-word shingles (shingles count as
-often as they occur).
-
-A window can only reach the similarity if enough of its shingles occur in the
-benchmark at all; fingerprints of other windows aren't computed, which loses no
-match. Items of fewer than five words have their whole sequence as their one
-shingle; items without words match nothing.
+A document's shingles are looked up among those of the items, and every window
+of an item's size (in words) that holds enough of that item's shingles is
+verified by the weighted Jaccard similarity of the 5-word shingles (shingles
+count as often as they occur). A similarity can't be reached with fewer, so no
+match is lost. Items of fewer than five words have their whole sequence as their
+one shingle; items without words match nothing.
 
 The benchmark is handed to the tasks in blocks of about BLOCK_ITEMS items, each
 against all documents, so a broadcast is bounded whatever the benchmark's size.
@@ -28,26 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, find_words, mix, ngrams, parts
+from .words import U64, find_words, ngrams, parts
 
-SHINGLE, BITS, RADIUS = 5, 128, 31
+SHINGLE = 5
 #: Items of one broadcast.
 BLOCK_ITEMS = 20_000
 
 
-def _planes(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of the BITS bits of every word."""
-    two = np.stack([mix(hashes ^ U64(0x5EED)), mix(hashes ^ U64(0xFACADE))], axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(two).view(np.uint8), axis=1)
-    return bits.astype(np.int32) * 2 - 1
-
-
-def _fingerprint(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1)
-
-
 class Benchmark:
-    """Items by size, their fingerprints, shingles and the block index."""
+    """Items by size, their shingles and, for each size, the items of every shingle."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         words = find_words(pa.array(texts, pa.string()))
@@ -55,12 +39,9 @@ class Benchmark:
         order = [k for k in np.argsort(size, kind="stable") if size[k]]
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.size = size[order]
-        spans = [words.hash[words.off[k] : words.off[k + 1]] for k in order]
-        self.prints = np.zeros((len(order), BITS // 8), np.uint8)
         self.shingles: list[tuple[np.ndarray, np.ndarray]] = []
         grams = {n: ngrams(words, n)[0] for n in range(1, SHINGLE + 1)}
         for x, k in enumerate(order):
-            self.prints[x] = _fingerprint(_planes(spans[x]).sum(axis=0)[None])[0]
             n = min(SHINGLE, size[k])
             own = grams[n][words.off[k] : words.off[k] + size[k] - n + 1]
             self.shingles.append(np.unique(own, return_counts=True))
@@ -70,33 +51,34 @@ class Benchmark:
             for n in sorted({int(min(z, SHINGLE)) for z in self.size})
         }
         self.sizes = np.unique(self.size)
-        edges = np.linspace(0, BITS, RADIUS + 2).astype(int)
-        self.blocks = list(zip(edges[:-1], edges[1:], strict=True))
-        #: By size and block: items ordered by the block's value, and where each value begins.
+        #: By size: shingles in order, and the item of each.
         self.index = {}
         for z in self.sizes:
             own = np.flatnonzero(self.size == z)
-            bits = np.unpackbits(self.prints[own], axis=1)
-            for b, (lo, hi) in enumerate(self.blocks):
-                value = bits[:, lo:hi] @ (1 << np.arange(hi - lo))
-                first = np.searchsorted(np.sort(value), np.arange((1 << (hi - lo)) + 1))
-                self.index[int(z), b] = own[np.argsort(value, kind="stable")], first
-
-    def within(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs at most RADIUS bits apart; prints has a row for each window."""
-        bits = np.unpackbits(prints, axis=1)
-        found = []
-        for b, (lo, hi) in enumerate(self.blocks):
-            items, first = self.index[size, b]
-            value = bits[:, lo:hi] @ (1 << np.arange(hi - lo))
-            many = first[value + 1] - first[value]
-            window = np.repeat(np.arange(len(prints)), many)
-            inner = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-            found.append(window * len(self.ids) + items[first[value[window]] + inner])
-        pair = np.unique(np.concatenate(found))
-        window, item = pair // len(self.ids), pair % len(self.ids)
-        apart = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1)
-        return window[apart <= RADIUS], item[apart <= RADIUS]
+            grams_of = np.concatenate([self.shingles[x][0] for x in own])
+            item = np.repeat(own, [len(self.shingles[x][0]) for x in own])
+            sort = np.argsort(grams_of, kind="stable")
+            self.index[int(z)] = grams_of[sort], item[sort]
+
+    def windows(self, size: int, at: np.ndarray, grams: np.ndarray, grams_in: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (start, item): windows of grams_in shingles of which `need` or more, at the places `at`, are the item's."""
+        value, item = self.index[size]
+        first = np.searchsorted(value, grams)
+        many = np.searchsorted(value, grams, "right") - first
+        place = np.repeat(at, many)
+        item = item[np.repeat(first, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        if len(place) < need:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        low, high = place[: len(place) - need + 1], place[need - 1 :]
+        close = (item[: len(low)] == item[need - 1 :]) & (high - low < grams_in)
+        low, high, item = low[close], high[close], item[: len(close)][close]
+        start = np.maximum(high - grams_in + 1, 0)
+        many = low - start + 1
+        start = np.repeat(start - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        pair = np.unique(np.repeat(item, many) + start * len(self.ids))
+        return pair // len(self.ids), pair % len(self.ids)
 
 
 def _matches(part: pa.RecordBatch, bench: Benchmark, percent: int) -> Iterator[tuple[int, int, int, int, float]]:
@@ -112,27 +94,13 @@ def _matches(part: pa.RecordBatch, bench: Benchmark, percent: int) -> Iterator[t
         hit = hit[np.isin(grams[hit], known)]
         if not len(hit):
             continue
-        hits = np.concatenate([[0], np.cumsum(np.bincount(hit, minlength=total))])
         left = np.repeat(words.off[1:], np.diff(words.off)) - np.arange(total)
         for size in (z for z in bench.sizes if min(z, SHINGLE) == n):
             grams_in = size - n + 1
             # A similarity of s needs a common weight of 2s/(1+s) times the mean weight, here the window's.
             need = -(-2 * percent * grams_in // (100 + percent))
-            start = np.flatnonzero(hits[grams_in:] - hits[:-grams_in] >= need)
-            start = start[left[start] >= size]
-            if not len(start):
-                continue
-            prints = []
-            edge = [0, *(np.flatnonzero(np.diff(start) > size) + 1), len(start)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                own = start[a:b] - start[a]
-                sums = np.zeros((int(own[-1]) + size + 1, BITS), np.int32)
-                np.cumsum(_planes(words.hash[start[a] : start[b - 1] + size]), axis=0, out=sums[1:])
-                prints.append(_fingerprint(sums[own + size] - sums[own]))
-            prints = np.concatenate(prints)
-            for lo in range(0, len(start), 4096):
-                for w, x in zip(*bench.within(int(size), prints[lo : lo + 4096]), strict=True):
-                    at = int(start[lo + w])
+            for at, x in zip(*bench.windows(int(size), hit, grams[hit], int(grams_in), int(need)), strict=True):
+                if left[at] >= size:
                     value, count = bench.shingles[x]
                     mine, times = np.unique(grams[at : at + grams_in], return_counts=True)
                     _, i, j = np.intersect1d(value, mine, assume_unique=True, return_indices=True)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from groundledger.llm import near_dedup
+from groundledger.llm import decontamination, near_dedup
 from groundledger.llm import queries as q
 from groundledger.llm.decontamination import contaminated
 from groundledger.llm.license_scan import license_scan
@@ -292,3 +292,16 @@ def test_near_duplicates_in_crowded_buckets():
         block |= {"comp": pa.array(mine)} | {c: sets.column(c).take(pa.array(mine)).combine_chunks() for c in sets.column_names}
         found += [(x["a"], x["b"]) for out in near_dedup._block_links(75)(iter([pa.RecordBatch.from_pydict(block)])) for x in out.to_pylist()]
     assert sorted(found) == near  # each once: only in the first bucket that a pair shares
+
+
+@pytest.mark.parametrize(("size", "changed"), [(50, 6), (100, 13), (200, 28)])
+def test_decontamination_finds_all_items_near_the_limit(size, changed):
+    rng = random.Random(size)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [some(size) for _ in range(200)]
+    # At the start of a text no shifted window can stand in for the only one that matches.
+    texts = [" ".join(w[: size - changed] + some(changed + 30)) for w in items]
+    bench = decontamination.Benchmark(list(range(200)), [" ".join(w) for w in items])
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    found = {(row, int(bench.ids[x])) for row, x, *_ in decontamination._matches(rows, bench, 75)}
+    assert found == {(k, k) for k in range(200)}
