@@ -10,13 +10,15 @@ No n-gram is left out, whatever the size of the corpus. The texts are cut into
 lots of about LOT_TOKENS tokens. A lot asks for each of its distinct n-grams
 once, in blobs by bucket of the key; a bucket adds up the counts of all lots and
 answers every blob in its order. So a frequent n-gram costs one entry a lot, and
-no key is hot. A second round adds up the arcs of every context, each sent by
-the one lot that its bucket chose, and answers the contexts whose failure arcs
-held-out texts take. N-grams are known by 64-bit hashes.
+no key is hot. Words and pairs are asked for first, then triples, so that only
+one of the two shuffles is on disk at a time. A last round adds up the arcs of
+every context, each sent by the one lot that its bucket chose, and answers the
+contexts whose failure arcs held-out texts take. N-grams are known by 64-bit hashes.
 
 Defined cases: null and empty texts are one end token; without any training
 token every token is unknown; a row without doc_id is not held out; repeated
-rows count and score once each; other columns are not read.
+rows count and score once each; equal n-grams of any number of texts are one
+entry a lot; a long text is a lot of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import release, settle
 from .words import _MULT, U64, find_words, mix, parts
 
 DISCOUNT = 0.7
@@ -38,6 +40,8 @@ FOLDS, HELD_OUT = 5, 1
 END = U64(0x0F0E0D0C0B0A0908)
 #: Tokens of a lot, and tokens for each bucket; both bound the arrays of a task.
 LOT_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
+#: Buckets of triples are numbered from here on.
+DEEP = 1 << 30
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -61,12 +65,13 @@ def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept.clear()
         ids = pa.concat_arrays(ids)
         words, number = np.unique(np.concatenate(tokens), return_inverse=True)
-        blobs = (np.concatenate(held), np.concatenate(size).astype(np.int64), words, number.astype(np.int32))
+        held, size = np.concatenate(held), np.concatenate(size).astype(np.int64)
         many = len(number) - len(ids)
-        train = int(((blobs[1] - 1) * ~blobs[0]).sum())
+        train = int(((size - 1) * ~held).sum())
+        blobs = (held.tobytes(), _packed(size), _packed(words, ordered=True), _packed(number.astype(np.int64)))
         return pa.RecordBatch.from_arrays(
             [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([many], pa.int64()), pa.array([train], pa.int64())]
-            + [_binary([x.tobytes()]) for x in blobs],
+            + [_binary([x]) for x in blobs],
             ["ids", "tokens", "train", "held", "size", "words", "number"],
         )
 
@@ -83,10 +88,8 @@ class Lot:
     """The distinct n-grams of a lot in the order words, pairs, triples, and the tokens' places among them."""
 
     def __init__(self, row: dict) -> None:
-        self.words = np.frombuffer(row["words"], U64)
+        self.words, size, number = _read(row["words"], U64, ordered=True), _read(row["size"], np.int64), _read(row["number"], np.int64)
         self.held = np.frombuffer(row["held"], bool)
-        size = np.frombuffer(row["size"], np.int64)
-        number = np.frombuffer(row["number"], np.int32).astype(np.int64)
         self.many = len(self.words)
         token = np.ones(len(number), bool)
         token[np.cumsum(size) - size] = False
@@ -96,28 +99,34 @@ class Lot:
         self.word, self.before = number[at], number[at - 1]
         self.deep = np.flatnonzero(token[at - 1])
         pairs, self.pair = np.unique(self.before * self.many + self.word, return_inverse=True)
+        self.left, self.right = pairs // self.many, pairs % self.many
+        self.contexts = np.concatenate([self.words, mix(self.words[self.left] * _MULT + self.words[self.right] + U64(2))])
+
+    def with_triples(self) -> Lot:
         triples, first, self.triple = np.unique(
             self.pair[self.deep - 1] * self.many + self.word[self.deep], return_index=True, return_inverse=True
         )
-        self.left, self.right = pairs // self.many, pairs % self.many
         #: The first and the last pair of every triple.
         self.head, self.tail = triples // self.many, self.pair[self.deep[first]]
-        self.contexts = np.concatenate([self.words, mix(self.words[self.left] * _MULT + self.words[self.right] + U64(2))])
-        last = self.words[triples % self.many]
-        self.keys = np.concatenate([self.contexts, mix(self.contexts[self.many :][self.head] * _MULT + last + U64(3))])
+        self.triples = mix(self.contexts[self.many :][self.head] * _MULT + self.words[triples % self.many] + U64(3))
+        return self
+
+    def _counts(self, at: np.ndarray, aside: np.ndarray, many: int) -> np.ndarray:
+        """Twice the count in the lot's training texts, and 1 if a held-out text has it."""
+        n = 2 * np.bincount(at[~aside], minlength=many)
+        n[at[aside]] += 1 - n[at[aside]] % 2
+        return n
 
-    def counts(self) -> np.ndarray:
-        """Of every n-gram twice its count in the lot's training texts, and 1 if a held-out text has it."""
+    def context_counts(self) -> np.ndarray:
         held = self.held[self.text]
-        out = []
-        for at, aside, many in ((self.word, held, self.many), (self.pair, held, len(self.left)), (self.triple, held[self.deep], len(self.head))):
-            n = 2 * np.bincount(at[~aside], minlength=many)
-            n[at[aside]] += 1 - n[at[aside]] % 2
-            out.append(n)
+        words = self._counts(self.word, held, self.many)
         # A text begins in the state of its end token.
         if self.held.any():
-            out[0][np.searchsorted(self.words, END)] |= 1
-        return np.concatenate(out)
+            words[np.searchsorted(self.words, END)] |= 1
+        return np.concatenate([words, self._counts(self.pair, held, len(self.left))])
+
+    def triple_counts(self) -> np.ndarray:
+        return self._counts(self.triple, self.held[self.text][self.deep], len(self.head))
 
 
 def _by_bucket(keys: np.ndarray, buckets: int, words: int = 0) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -137,14 +146,15 @@ def _packed(values: np.ndarray, ordered: bool = False) -> bytes:
     return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
+def _read(blob: bytes, kind: type, ordered: bool = False) -> np.ndarray:
+    many = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], decompressed_size=8 * many, codec="zstd", asbytes=True), np.uint8)
+    value = np.ascontiguousarray(planes.reshape(8, many).T).view(kind)[:, 0]
+    return np.cumsum(value, dtype=kind) if ordered else value
+
+
 def _unpacked(column: pa.ChunkedArray, kind: type, ordered: bool = False) -> list[np.ndarray]:
-    out = []
-    for blob in column.to_pylist():
-        many = int.from_bytes(blob[:4], "little")
-        planes = np.frombuffer(pa.decompress(blob[4:], decompressed_size=8 * many, codec="zstd", asbytes=True), np.uint8)
-        value = np.ascontiguousarray(planes.reshape(8, many).T).view(kind)[:, 0]
-        out.append(np.cumsum(value, dtype=kind) if ordered else value)
-    return out
+    return [_read(blob, kind, ordered) for blob in column.to_pylist()]
 
 
 def _binary(blobs: list[bytes]) -> pa.Array:
@@ -207,39 +217,47 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     tokens, total = lots.agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("train"), zero)).first()
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                lot = Lot(row)
-                n = lot.counts()
-                order, runs = _by_bucket(lot.keys, buckets, lot.many)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["lot"]] * len(runs), pa.int64()),
-                        pa.array([b for b, _, _ in runs], pa.int32()),
-                        _binary([_packed(lot.keys[order[x:y]], ordered=True) for _, x, y in runs]),
-                        _binary([_packed(n[order[x:y]]) for _, x, y in runs]),
-                    ],
-                    ["lot", "bucket", "keys", "n"],
-                )
-
-    answers = settle(
-        lots.mapInArrow(ask, "lot long, bucket int, keys binary, n binary")
-        .groupBy("bucket")
-        .applyInArrow(_counted, "lot long, bucket int, known long, answer binary")
-    )
-    distinct = answers.where(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("known"), zero)).first()[0]
+    def asked(deep: bool):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = batch.slice(k, 1).to_pylist()[0]
+                    lot = Lot(row)
+                    if deep:
+                        keys, n = lot.with_triples().triples, lot.triple_counts()
+                    else:
+                        keys, n = lot.contexts, lot.context_counts()
+                    order, runs = _by_bucket(keys, buckets, 0 if deep else lot.many)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row["lot"]] * len(runs), pa.int64()),
+                            pa.array([b + deep * DEEP for b, _, _ in runs], pa.int32()),
+                            _binary([_packed(keys[order[x:y]], ordered=True) for _, x, y in runs]),
+                            _binary([_packed(n[order[x:y]]) for _, x, y in runs]),
+                        ],
+                        ["lot", "bucket", "keys", "n"],
+                    )
+
+        return (
+            lots.mapInArrow(ask, "lot long, bucket int, keys binary, n binary")
+            .groupBy("bucket")
+            .applyInArrow(_counted, "lot long, bucket int, known long, answer binary")
+        )
+
+    shallow = settle(asked(False))
+    deep = settle(asked(True))
+    answers = shallow.unionAll(deep)
+    distinct = shallow.where(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("known"), zero)).first()[0]
     smooth = total + 0.5 * (distinct + 1)
     unknown = DISCOUNT * distinct / total if total else 1.0
-    first = "lot long, bucket int, keys binary, arcs binary, lower binary, ids array<long>, held binary, many binary, score binary, step binary"
+    first = "lot long, bucket int, keys binary, arcs binary, lower binary, ids array<long>, held binary, many binary, score binary, text binary, place binary, seen binary"
     names = [c.split()[0] for c in first.split(", ")]
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         """A lot's sums over known arcs, the failure arcs still to be weighed, and what it adds to its contexts."""
         row = left.to_pylist()[0]
-        lot = Lot(row)
-        order, _ = _by_bucket(lot.keys, buckets, lot.many)
+        lot = Lot(row).with_triples()
+        order = np.concatenate([_by_bucket(lot.contexts, buckets, lot.many)[0], len(lot.contexts) + _by_bucket(lot.triples, buckets)[0]])
         answer = np.zeros(len(order), np.int64)
         answer[order] = np.concatenate(_unpacked(right.sort_by("bucket").column("answer"), np.int64))
         n, owned = answer >> 2, answer & 1 == 1
@@ -287,7 +305,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
         many = np.stack([np.bincount(lot.text, minlength=texts), np.bincount(lot.text, n1[lot.word] > 0, texts).astype(np.int64)])
         base = np.bincount(lot.text, np.log10((n1 + 0.5) / smooth)[lot.word], texts)
         score = np.bincount(lot.text, np.log10(p), texts)
-        steps = np.stack([np.concatenate([lot.text[pair], lot.text[word]]), place[step], n[step]])
+        steps = np.concatenate([lot.text[pair], lot.text[word]]), place[step], n[sent[asked[sent]]]
 
         cut = [sent[x:y] for _, x, y in runs]
         k = len(cut)
@@ -296,7 +314,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
             [_packed(2 * arcs[c].astype(np.int64) + asked[c]) for c in cut],
             [_packed(lower[c]) for c in cut],
         ]
-        state = [row["held"], many.tobytes(), np.stack([base, score]).tobytes(), steps.tobytes()]
+        state = [row["held"], many.tobytes(), np.stack([base, score]).tobytes(), *map(_packed, steps)]
         return pa.table(
             [
                 pa.array([row["lot"]] * (k + 1), pa.int64()),
@@ -308,7 +326,13 @@ def lm_scores(documents: DataFrame) -> DataFrame:
             names,
         )
 
-    walked = settle(lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(walk, first))
+    # Half of the lots at a time, so that half of them are in a shuffle.
+    halves = []
+    for half in (0, 1):
+        own, theirs = (x.where(F.pmod(F.xxhash64("lot"), F.lit(2)) == half).groupBy("lot") for x in (lots, answers))
+        halves.append(settle(own.cogroup(theirs).applyInArrow(walk, first)))
+    release(lots, shallow, deep)
+    walked = halves[0].unionAll(halves[1])
     weights = (
         walked.where("bucket >= 0")
         .select("lot", "bucket", "keys", "arcs", "lower")
@@ -322,9 +346,9 @@ def lm_scores(documents: DataFrame) -> DataFrame:
         arcs, lower = (_joined(_unpacked(right.column(c), t), t) for c, t in (("arcs", np.int64), ("lower", float)))
         many = np.frombuffer(row["many"], np.int64).reshape(2, -1)
         base, score = np.frombuffer(row["score"]).reshape(2, -1)
-        text, at, n = np.frombuffer(row["step"], np.int64).reshape(3, -1)
-        weight = np.maximum(DISCOUNT * arcs[at] / n, 1e-9) / np.maximum(1 - lower[at], 1e-9)
-        score = score + np.bincount(text, np.log10(weight), len(score))
+        text, at, n = (_read(row[c], np.int64) for c in ("text", "place", "seen"))
+        weight = np.maximum(DISCOUNT * arcs / n, 1e-9) / np.maximum(1 - lower, 1e-9)
+        score = score + np.bincount(text, np.log10(weight)[at], len(score))
         return pa.table(
             [
                 pa.array(row["ids"], pa.int64()),
@@ -338,7 +362,7 @@ def lm_scores(documents: DataFrame) -> DataFrame:
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    state = walked.where("bucket < 0").select("lot", "ids", "held", "many", "score", "step")
+    state = walked.where("bucket < 0").select("lot", "ids", "held", "many", "score", "text", "place", "seen")
     return state.groupBy("lot").cogroup(weights.groupBy("lot")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
