@@ -8,16 +8,16 @@ documents exponentially: document d of source s is taken at the rate
 lambdas solve a convex dual, found by Newton steps guarded by bisection; each
 step is one aggregate over the sizes of all sources together.
 
-Rates become copies by thresholds: slot k of a document is taken if its uniform
-hash is below rate / 2, that is, if lambda exceeds the slot's critical value.
-Slots next to the threshold are added or given back, in the order of their
-critical values, until the source's words meet its target; the last of them is
-cut to the words that are still missing. The order depends on the hashes alone,
-so reruns agree.
+A document's rate becomes copies by its hash u: floor(rate + u), so that the mean
+is the rate. What the words of a source then lack or exceed (the rounding's
+residue, small against the target) is made up by the documents whose rate + u is
+nearest to the next whole number; the last of them gives or gets only the words
+still missing. Hashes of id and text decide alone, so reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; null
 sources are one source, ordered last; rows that repeat a doc_id are rows of
-their own; of clashing input columns, only doc_id, text and source are read.
+their own, and equal rows may get different shares, the same ones in every run;
+texts of any length count whole; other columns are carried, never read.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ from .storage import settle
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
 MOST_COPIES = 2
-NEWTON_STEPS = 40
+NEWTON_STEPS = 100
 #: A source whose words are within this share of the target is solved.
-CLOSE = 1e-4
-#: Bins of critical values on either side of the threshold.
-BINS = 1024
+CLOSE = 1e-9
+#: Bins of a unit of rate + u; one of them is put in order for each source.
+BINS = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -110,54 +110,61 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, most: int) -> DataFrame:
         moved = F.when(F.abs("gap") <= CLOSE, F.col("lam")).when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(middle)
         step = step.select("source", "mean_size", "target", "full", moved.alias("lam"), "lo", "hi", "gap")
         state = settle(step.unionAll(state.where((F.abs("gap") <= CLOSE) | F.col("full"))))
+    else:
+        raise RuntimeError(f"the dual is not solved after {NEWTON_STEPS} steps")
     return state.select("source", "mean_size", F.when(~F.col("full"), F.col("lam")).alias("lam"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, rate, copies) of every row of documents(doc_id, text, source)."""
-    docs = settle(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+def mixed(
+    documents: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_COPIES
+) -> DataFrame:
+    """(doc, size, source_size, target, rate, taken, copies) of every row of documents(doc_id, text, source); doc holds the carried columns."""
+    seed = F.xxhash64("doc_id", "text", F.lit("mix"))
+    docs = settle(
+        documents.select(
+            F.struct(*[F.col(f"`{c}`") for c in carried]).alias("doc"),
+            "source",
+            n_words(F.col("text")).alias("size"),
+            seed.alias("seed"),
+        )
+    )
     sizes = settle(docs.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = source_targets(sizes, weights, percent, most)
     dual = solve_dual(sizes, targets, most)
     facts = settle(
         targets.alias("t").join(dual.alias("d"), F.col("t.source").eqNullSafe(F.col("d.source")), "left")
-        .select(F.col("t.source").alias("_source"), "source_size", "target", F.round("target").cast("long").alias("goal"), "mean_size", "lam")
-    )
-    rows = docs.join(facts, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("x", F.col("size") / F.col("mean_size"))
-    rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(
-        F.lit(float(most)) / (1 + F.exp(-F.greatest(F.least(F.col("lam") * F.col("x"), F.lit(500.0)), F.lit(-500.0))))
+        .select(F.col("t.source").alias("own"), "source_size", "target", F.round("target").cast("long").alias("goal"), "mean_size", "lam")
     )
-    rows = rows.withColumn("rate", F.round(rate, 6))
-
-    slots = rows.where("size > 0").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    uniform = (F.pmod(F.xxhash64("doc_id", "slot", F.lit("mix")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    slots = slots.withColumn("critical", F.log(uniform / (1 - uniform)) / F.col("x"))
-    off = F.col("critical") - F.coalesce("lam", F.lit(0.0))
-    slots = slots.withColumn("bin", F.floor(BINS * off / (1 + F.abs(off))).cast("int"))
-    bins = slots.groupBy("_source", "goal", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.join(facts, F.col("source").eqNullSafe(F.col("own")))
+    tilt = F.greatest(F.least(F.col("lam") * F.col("size") / F.col("mean_size"), F.lit(500.0)), F.lit(-500.0))
+    rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(F.lit(float(most)) / (1 + F.exp(-tilt)))
+    rows = rows.withColumn("rate", rate)
+    uniform = (F.pmod("seed", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    # Copy j of a document is taken where its gap is at most 0; gaps of a document's copies are 1 apart.
+    rows = rows.withColumn("gap", 1 - F.col("rate") - uniform).withColumn("bin", F.floor(F.col("gap") * BINS).cast("int"))
+
+    steps = F.array(*[F.col("bin") + BINS * j for j in range(most)])
+    slots = rows.where("size > 0").select("own", "goal", "size", F.explode(steps).alias("bin"))
+    bins = slots.groupBy("own", "goal", "bin").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("own").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    edge = settle(bins.where("before < goal and before + words >= goal").select(F.col("_source").alias("_edge"), F.col("bin").alias("edge"), "before"))
-    placed = slots.join(edge, F.col("_source").eqNullSafe(F.col("_edge")), "left")
-    # Only the bin that the target falls into is put in order.
-    inner = Window.partitionBy("_source").orderBy("critical", "doc_id", "slot", "size").rowsBetween(Window.unboundedPreceding, -1)
-    here = placed.where("bin = edge").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    here = here.select("doc_id", "_source", "size", F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("at"))).cast("long").alias("words"))
-    whole = placed.where("edge is null or bin < edge").where("goal > 0").select("doc_id", "_source", "size", F.col("size").alias("words"))
-    taken = whole.unionAll(here).groupBy("doc_id", "_source", "size").agg(F.sum("words").alias("words"))
-    out = rows.alias("r").join(
-        taken.alias("k"),
-        F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")) & F.col("r.source").eqNullSafe(F.col("k._source")) & (F.col("r.size") == F.col("k.size")),
-        "left",
-    )
-    same = Window.partitionBy("r.doc_id", "r.source", "r.size")
-    words = F.coalesce(F.col("k.words"), F.lit(0))
-    nth = F.row_number().over(same.orderBy(F.lit(1))) - 1
-    # Rows alike share what they take, as evenly as whole words allow.
-    many = F.count("*").over(same)
-    own = (F.floor(words / many) + F.when(nth < words % many, 1).otherwise(0)).cast("long")
-    return out.select(
-        "r.doc_id", "r.source", "r.size", "source_size", "target",
-        own.alias("taken"), "rate", F.ceil(F.when(F.col("r.size") > 0, own / F.col("r.size")).otherwise(0)).cast("int").alias("copies"),
-    )
+    # In the bin where the words reach the goal lies the residue's end.
+    edge = settle(bins.where("before < goal and before + words >= goal").select(F.col("own").alias("at"), F.col("bin").alias("edge"), "before"))
+    placed = rows.join(edge, F.col("own").eqNullSafe(F.col("at")), "left")
+    whole = sum((F.coalesce(F.col("bin") + BINS * j < F.col("edge"), F.lit(False)).cast("long") for j in range(most)), F.lit(0))
+    here = (F.col("size") > 0) & (F.pmod(F.col("bin"), F.lit(BINS)) == F.pmod(F.col("edge"), F.lit(BINS)))
+    here &= (F.col("bin") <= F.col("edge")) & (F.col("bin") + BINS * (most - 1) >= F.col("edge"))
+    placed = placed.withColumn("whole", whole * F.col("size")).withColumn("here", F.coalesce(here, F.lit(False)))
+    inner = Window.partitionBy("own").orderBy(F.col("gap") * BINS - F.col("bin"), "seed", "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto_here = F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - upto_here))
+    last = placed.where("here").withColumn("taken", (F.col("whole") + part).cast("long"))
+    out = placed.where("not here").withColumn("taken", F.col("whole")).unionByName(last)
+    copies = F.ceil(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int")
+    return out.select("doc", "size", "source_size", "target", F.round("rate", 6).alias("rate"), "taken", copies.alias("copies"))
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_COPIES) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, rate, copies) of every row of documents(doc_id, text, source)."""
+    out = mixed(documents, ["doc_id", "source"], weights, percent, most)
+    return out.select("doc.doc_id", "doc.source", "size", "source_size", "target", "taken", "rate", "copies")
