@@ -10,8 +10,8 @@ No piece of the vocabulary has the escape character after another character,
 so no merge crosses the start of a run of spaces; each run with the word that
 follows is counted on its own and remembered in a cache of bounded size.
 
-Defined cases: null and empty texts have 0 tokens; lone rows, repeated rows and
-other columns change nothing.
+Defined cases: null and empty texts have 0 tokens; rows without doc_id, repeated
+rows and other columns change nothing; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import parts
+
 SPACE = "▁"
 CACHE_ENTRIES = 400_000
 #: Longer units are counted but not remembered.
@@ -98,7 +100,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = MergeTable(model_path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
