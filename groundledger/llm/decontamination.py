@@ -7,11 +7,13 @@ count as often as they occur). A similarity can't be reached with fewer, so no
 match is lost. Items of fewer than five words have their whole sequence as their
 one shingle; items without words match nothing.
 
-The benchmark is handed to the tasks in blocks of about BLOCK_ITEMS items, each
-against all documents, so a broadcast is bounded whatever the benchmark's size.
+The benchmark is handed to the tasks in blocks of about BLOCK_BYTES of text and
+BLOCK_ITEMS items at most, each against all documents, so a broadcast is bounded
+whatever the benchmark's size.
 
 Defined cases: null and empty texts match nothing; a document that repeats is
-reported once a row; other columns are not read.
+reported once a row; of equally similar windows the first is reported; texts of
+any length are searched whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .words import U64, find_words, ngrams, parts
 
 SHINGLE = 5
-#: Items of one broadcast.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of text of one broadcast.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
 
 class Benchmark:
@@ -110,21 +112,25 @@ def _matches(part: pa.RecordBatch, bench: Benchmark, percent: int) -> Iterator[t
                         yield int(np.searchsorted(words.off, at, "right")) - 1, int(x), at, int(size), both / union
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
-    """Best matching window of each (document, item): (doc_id, item_id, first_word, n_words, similarity)."""
-    spark = documents.sparkSession
+def _shared_blocks(benchmark: DataFrame):
+    """Broadcasts of the benchmark, block after block: each of BLOCK_BYTES of text on average, BLOCK_ITEMS items or fewer."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null and item_id is not null")
-    blocks = -(-items.count() // BLOCK_ITEMS)
-    out = None
+    many, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(-(-many // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
+    """Best matching window of each (document, item): (doc_id, item_id, first_word, n_words, similarity)."""
+    out = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
+    for shared in _shared_blocks(benchmark):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             bench = shared.value
             for part in parts(batches):
                 ids = part.column("doc_id")
-                offsets = None
                 best: dict[tuple[int, int], tuple] = {}
                 for row, x, at, size, sim in _matches(part, bench, percent):
                     key = row, int(bench.ids[x])
@@ -139,10 +145,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 75)
                     ["doc_id", "item_id", "first_word", "n_words", "similarity"],
                 )
 
-        found = documents.select("doc_id", "text").mapInArrow(
-            scan, "doc_id long, item_id long, first_word long, n_words long, similarity double"
-        )
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        out = out.unionAll(documents.select("doc_id", "text").mapInArrow(scan, out.schema))
+    return out
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of documents(text, ...) that hold no item of the benchmark, in place: rows without doc_id are judged alike."""
+    out = documents
+    for shared in _shared_blocks(benchmark):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in parts(batches):
+                keep = np.ones(part.num_rows, bool)
+                keep[[row for row, *_ in _matches(part, shared.value, percent)]] = False
+                yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, documents.schema)
     return out
