@@ -1,34 +1,43 @@
-"""Substring dedup: content-defined chunks, deduplicated across documents by digest.
+"""Substring dedup: content-defined chunks, deduplicated by digest.
 
 A gear hash rolls over the bytes of a text: shifted left by one and increased by
 a random number of the new byte, so that it depends on the last 32 bytes only. A
 chunk ends where its upper bits are all zero, 32 bytes on average; an insertion
 thus moves the boundaries next to it alone. Chunks without such a place end after
-MAX_CHUNK bytes. A chunk repeats if a document with a smaller doc_id has a chunk
-of the same 128-bit digest; runs of adjacent repeating chunks of LEAST_WORDS
-words or more are repeated passages. The mean chunk is a tenth of a passage of
-50 words, so what a passage loses at its two ends keeps it above LEAST_WORDS.
-
-Defined cases: null and empty texts have no chunks; repeats inside one document
-are not passages of two documents and are left; rows that repeat a doc_id are
-one document; rows without doc_id are not compared; other columns are not read.
+MAX_CHUNK bytes.
+
+A chunk whose digest occurs before, in a document of smaller doc_id or earlier in
+its own, is an anchor: it lies at some distance from the digest's first place.
+Anchors of one document, first document and distance make a passage where the text
+between them is the same in both places, which hashes of the texts' beginnings
+tell without the texts. So every passage stands in one earlier place as a whole.
+Passages of LEAST_WORDS words or more are reported; the mean chunk is a tenth of a
+passage of 50 words, so what it loses at its two ends leaves it above that.
+
+Defined cases: null and empty texts have no chunks; of equal places the smallest
+doc_id and start is the first; rows that repeat a doc_id are one document; rows
+without doc_id are not compared; a text of any length is chunked whole, and one
+document's anchors fit a task; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settle
-from .words import _BYTE, _SPACE, parts, text_bytes
+from .storage import release, settle, unused
+from .words import _BYTE, _GOLDEN, _MULT, _SPACE, U64, mix, parts, text_bytes
 
-WINDOW, MEAN_BITS, MAX_CHUNK, LEAST_WORDS = 32, 5, 4096, 18
+WINDOW, MEAN_BITS, MAX_CHUNK, LEAST_WORDS = 32, 5, 4096, 16
 _GEAR = (_BYTE >> np.uint64(32)).astype(np.uint32)
+#: A second polynomial hash, for the texts' beginnings: its byte values, its base and the base's inverse modulo 2**64.
+_OTHER_BYTE = mix(_BYTE + U64(_GOLDEN))
+_BASE = U64(0xA24BAED4963EE407)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
 
 def gear_cuts(data: np.ndarray) -> np.ndarray:
@@ -53,7 +62,23 @@ def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.unique(ends)
 
 
+def _powers(base: np.uint64, many: int) -> np.ndarray:
+    out = np.ones(many, U64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
+
+
+def _raised(base: np.uint64, to: np.ndarray) -> np.ndarray:
+    """base ** to, number by number."""
+    out, square, left = np.ones(len(to), U64), np.array([base], U64), to.astype(U64)
+    while left.any():
+        out = np.where(left & U64(1) == 1, out * square, out)
+        square, left = square * square, left >> U64(1)
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with the words and the hash of the text before their start and before their end."""
     for part in parts(batches):
         data, at = text_bytes(part.column("text"))
         if not len(data):
@@ -61,67 +86,122 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = chunk_ends(data, at)
         start = np.concatenate([[0], ends[:-1]])
         row = np.searchsorted(at, start, "right") - 1
-        space = _SPACE[data]
-        first = ~space
-        first[1:] &= space[:-1]
+        first = ~_SPACE[data]
+        first[1:] &= _SPACE[data][:-1]
         words = np.concatenate([[0], np.cumsum(first)])
-        raw = data.tobytes()
-        digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), ends.tolist(), strict=True)]
+        # The digest: a polynomial hash of the chunk's bytes from its start on.
+        inner = np.arange(len(data)) - np.repeat(start, ends - start)
+        power = _powers(_MULT, int((ends - start).max()))
+        digest = mix(np.add.reduceat(_BYTE[data] * power[inner], start) + (ends - start).astype(U64) * U64(_GOLDEN))
+        # The other hash, of everything before a place of its text.
+        sums = np.concatenate([[U64(0)], np.cumsum(_OTHER_BYTE[data] * _powers(_BASE, len(data)), dtype=U64)])
+        back = _raised(_INVERSE, at[:-1])[row]
+        before, upto = ((sums[x] - sums[at[row]]) * back for x in (start, ends))
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id").cast(pa.int64()).take(pa.array(row)),
                 pa.array(start - at[row], pa.int32()),
                 pa.array(ends - at[row], pa.int32()),
-                pa.array(words[ends] - words[start], pa.int32()),
-                pa.array(digest, pa.binary()),
+                pa.array(words[start] - words[at[row]], pa.int32()),
+                pa.array(words[ends] - words[at[row]], pa.int32()),
+                *[pa.array(x.view(np.int64)) for x in (digest, before, upto)],
             ],
-            ["doc_id", "start", "end", "words", "digest"],
+            ["doc_id", "start", "end", "word", "end_word", "digest", "before", "upto"],
+        )
+
+
+def _passages(least_words: int):
+    """Passages from anchors that come together by doc_id, in the order of first place, distance and start."""
+    names = ("doc_id", "start", "end", "word", "end_word", "before", "upto", "first_doc", "first_start", "first_before", "first_upto")
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        doc, start, end, word, end_word, before, upto, first, first_start, first_before, first_upto = (
+            table.column(c).to_numpy() for c in names
+        )
+        start, end = start.astype(np.int64), end.astype(np.int64)
+        far = start - first_start
+        same = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (far[1:] == far[:-1])
+        # The text between two anchors, here and at the first place.
+        here = (before[1:] - upto[:-1]).view(U64) * _raised(_INVERSE, end[:-1])
+        there = (first_before[1:] - first_upto[:-1]).view(U64) * _raised(_INVERSE, np.maximum(end[:-1] - far[:-1], 0))
+        new = np.flatnonzero(np.concatenate([[True], ~same | (here != there)]))
+        last = np.concatenate([new[1:], [len(doc)]]) - 1
+        many = end_word[last] - word[new]
+        keep = many >= least_words
+        new, last, many = new[keep], last[keep], many[keep]
+        # Of passages within another one, the longer, then the one of the earlier place, stays.
+        order = np.lexsort((first[new], -end[last], start[new], doc[new]))
+        new, last, many = new[order], last[order], many[order]
+        owner = np.searchsorted(np.unique(doc), doc[new])
+        reach = owner * (1 << 40) + end[last]
+        top = np.maximum.accumulate(np.concatenate([[-1], reach]))[:-1]
+        out = reach > top
+        new, last, many = new[out], last[out], many[out]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[new]), pa.array(start[new]), pa.array(end[last]), pa.array(many, pa.int64()), pa.array(first[new])],
+            ["doc_id", "start_byte", "end_byte", "n_words", "first_doc_id"],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc_id").to_numpy()
+            edge = int(np.searchsorted(doc, doc[-1]))
+            if edge or (rest and rest[-1].column("doc_id")[0].as_py() != doc[0]):
+                yield found(pa.Table.from_batches([*rest, batch.slice(0, edge)]))
+                rest = []
+            rest.append(batch.slice(edge))
+        if rest:
+            yield found(pa.Table.from_batches(rest))
+
+    return run
+
 
 def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages of documents(doc_id, text) that a document before has.
+    """Passages of documents(doc_id, text) that stand in an earlier place.
 
     (doc_id, start_byte, end_byte, n_words, first_doc_id): the bytes
-    [start_byte, end_byte) of the text are in first_doc_id or, chunk by chunk,
-    in several documents of smaller doc_id, of which it is the smallest.
+    [start_byte, end_byte) of the text are also in first_doc_id, the document of
+    smaller doc_id or the same one, there further ahead.
     """
-    chunks = (
+    chunks = settle(
         documents.where("doc_id is not null")
         .select("doc_id", "text")
-        .mapInArrow(_chunks, "doc_id long, start int, end int, words int, digest binary")
+        .mapInArrow(_chunks, "doc_id long, start int, end int, word int, end_word int, digest long, before long, upto long")
     )
-    first = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-    first = first.where("first_doc_id < last").select("digest", "first_doc_id")
-    again = settle(chunks.join(first, "digest").where("doc_id > first_doc_id").drop("digest").distinct())
-    own = Window.partitionBy("doc_id").orderBy("start", "end")
-    runs = again.withColumn("new", (F.lag("end").over(own) < F.col("start")).cast("int"))
-    runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        runs.groupBy("doc_id", "run")
-        .agg(
-            F.min("start").alias("start_byte"),
-            F.max("end").alias("end_byte"),
-            F.sum("words").cast("long").alias("n_words"),
-            F.min("first_doc_id").alias("first_doc_id"),
+    place = F.struct("doc_id", "start", "before", "upto")
+    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+    later = (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.start") != F.col("last.start"))
+    first = settle(
+        first.where(later).select(
+            "digest",
+            F.col("first.doc_id").alias("first_doc"),
+            F.col("first.start").alias("first_start"),
+            F.col("first.before").alias("first_before"),
+            F.col("first.upto").alias("first_upto"),
         )
-        .where(F.col("n_words") >= least_words)
-        .drop("run")
     )
+    anchors = chunks.join(first, "digest").where("doc_id != first_doc or start != first_start").drop("digest").distinct()
+    anchors = settle(anchors)
+    release(chunks, first)
+    ordered = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc", F.col("start") - F.col("first_start"), "start", "end")
+    return ordered.mapInArrow(_passages(least_words), "doc_id long, start_byte long, end_byte long, n_words long, first_doc_id long")
 
 
 def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """The documents with their repeated passages cut out of the text."""
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
-    text = F.encode("text", "UTF-8")
-    kept = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out")),
-        lambda s, x: F.struct(
-            x["end_byte"].alias("at"),
-            F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start_byte"] - s["at"]))).alias("out"),
-        ),
-        lambda s: F.concat(F.concat_ws("", F.transform(s["out"], lambda b: F.hex(b))), F.hex(F.substring(text, s["at"] + 1, F.octet_length("text")))),
-    )
+    upto = Window.partitionBy("doc_id").orderBy("start_byte", "end_byte").rowsBetween(Window.unboundedPreceding, -1)
+    spans = passages.select("doc_id", "start_byte", "end_byte", F.coalesce(F.max("end_byte").over(upto), F.lit(0)).alias("from"))
+    kept = F.when(F.col("start_byte") > F.col("from"), F.struct("from", "start_byte"))
+    cuts, last = unused(documents, "cuts", "last")
+    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(kept)).alias(cuts), F.max("end_byte").alias(last))
+
+    def rest(raw: Column) -> Column:
+        piece = F.transform(cuts, lambda c: F.substring(raw, (c["from"] + 1).cast("int"), (c["start_byte"] - c["from"]).cast("int")).cast("string"))
+        return F.concat(F.array_join(piece, ""), F.substring(raw, (F.col(last) + 1).cast("int"), F.octet_length(raw)).cast("string"))
+
+    text = F.get(F.transform(F.array(F.encode("text", "UTF-8")), rest), F.lit(0))
     joined = documents.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.coalesce(F.decode(F.unhex(kept), "UTF-8"), "text")).select(*documents.columns)
+    return joined.withColumn("text", F.when(F.col(last).isNotNull(), text).otherwise(F.col("text"))).select(*documents.columns)
