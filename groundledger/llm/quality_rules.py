@@ -1,18 +1,24 @@
 """Quality rules: robust multivariate outliers of text statistics.
 
 Per language and source a minimum-covariance-determinant estimate of location
-and scatter is found by concentration steps: from the medians and absolute
-deviations on, the three quarters of rows nearest by Mahalanobis distance give
-the next mean and covariance. The distance cut comes from a histogram of
-log-distances, so a step is one grouped aggregate with partial sums, whatever
-the size of a group. A last step reweights by the rows within the 97.5 %
-quantile. Rows beyond CUTOFF, or failing a base rule, are not kept.
-
-Groups of fewer than LEAST_ROWS rows use the estimate of all rows together.
-
-Defined cases: null and empty texts have zero words and fail the base rules;
-null languages or sources are groups of their own; repeated rows count as
-often as they occur; other columns are not read.
+and scatter is found by concentration steps from three starts: medians and
+absolute deviations, all rows, and a random half of them. A step takes the mean
+and covariance of the three quarters of rows nearest by Mahalanobis distance;
+steps end when no determinant changes any more, and the start with the least one
+wins. A last step reweights by the rows within the 97.5 % quantile. Distances
+are cut by a histogram, whose last bin counts in part, so a step is one grouped
+aggregate with partial sums, whatever the size of a group.
+
+Estimates exist for all rows, every language and every language and source; each
+is drawn to the one above it as by PRIOR_ROWS further rows, at every size: a
+group of a few rows has nearly its language's estimate, a large one its own.
+Standard deviations below FLOORS count as FLOORS, as most documents have no
+repeated line. Rows beyond CUTOFF, or failing a base rule, are not kept.
+
+Defined cases: null and empty texts have zero words, fail the base rules and
+don't enter estimates; null languages or sources are groups of their own;
+repeated rows count as often as they occur; texts of any length count whole;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,24 +28,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import release, settle
 from .words import find_words, ngrams, parts
 
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
 P = len(FEATURES)
-LEAST_ROWS = 200
-STEPS = 6
-#: chi-square quantiles with five degrees of freedom: 0.75 (the h-subset's radius), 0.975.
-CHI2_75, CHI2_975 = 6.6257, 12.8325
-#: Squared distance of a rejected row; the normal tail beyond it is 1e-8.
-CUTOFF = 47.0
-#: Least standard deviations, so that statistics that are nearly always zero don't make the scatter singular.
-FLOORS = (0.25, 0.05, 0.03, 0.15, 0.15)
-#: Correction that makes the scatter of the nearest 75 % consistent at the normal: 0.75 / F7(CHI2_75).
-CONSISTENT = 0.75 / 0.5310
+STARTS = 3
+#: Concentration steps at most; they end when no log-determinant changes by TOLERANCE.
+STEPS, TOLERANCE = 30, 1e-3
+SHARE = 0.75
+#: Rows that the estimate of the language (of all rows, for a language) counts for.
+PRIOR_ROWS = 50
+#: 97.5 % quantile of chi-square with five degrees of freedom.
+CHI2_975 = 12.8325
+#: Squared distance of a rejected row: the quantile of 1 - 1e-6.
+CUTOFF = 35.888
+#: Least standard deviations.
+FLOORS = (0.25, 0.05, 0.03, 0.08, 0.08)
+#: Corrections that make the scatter of the nearest 75 % and 97.5 % consistent at the normal.
+CONSISTENT, CONSISTENT_975 = 0.75 / 0.5310, 0.975 / 0.9239
+#: Bins of a unit of a statistic, for medians.
+GRID = 200
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -105,76 +117,122 @@ def _distance() -> Column:
     return sum((gap[i] * gap[j] * F.col("inv")[P * i + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """The scatter with all variances raised to those of FLOORS, in every direction."""
+    unit = np.outer(FLOORS, FLOORS)
+    value, vector = np.linalg.eigh(cov / unit)
+    return (vector * np.maximum(value, 1.0)) @ vector.T * unit
+
+
 def _estimates(sums: DataFrame, scale: float) -> DataFrame:
-    """(grp, mean, inv) from one row of sums for each group."""
+    """(grp, start, n, mean, cov, inv, det) from one row of sums for each group and start; det is a logarithm."""
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for grp, n, first, second in zip(frame["grp"], frame["n"], frame["first"], frame["second"], strict=True):
+            for grp, start, n, first, second in frame[["grp", "start", "n", "first", "second"]].itertuples(index=False):
                 mean = np.asarray(first) / n
-                cov = np.asarray(second).reshape(P, P) / n - np.outer(mean, mean)
-                cov = cov * scale + np.diag(np.square(FLOORS))
-                out.append((grp, mean.tolist(), np.linalg.inv(cov).reshape(-1).tolist()))
-            yield pd.DataFrame(out, columns=["grp", "mean", "inv"])
+                cov = (np.asarray(second).reshape(P, P) / n - np.outer(mean, mean)) * scale
+                fit = floored(cov)
+                out.append((grp, start, n, mean.tolist(), cov.reshape(-1).tolist(), np.linalg.inv(fit).reshape(-1).tolist(), np.linalg.slogdet(fit)[1]))
+            yield pd.DataFrame(out, columns=["grp", "start", "n", "mean", "cov", "inv", "det"])
+
+    return sums.mapInPandas(solve, "grp string, start int, n double, mean array<double>, cov array<double>, inv array<double>, det double")
+
 
-    return sums.mapInPandas(solve, "grp string, mean array<double>, inv array<double>")
+def _sums() -> list[Column]:
+    first = [F.sum(f).alias(f"a{k}") for k, f in enumerate(FEATURES)]
+    second = [F.sum(F.col(f) * F.col(g)).alias(f"b{P * i + j}") for i, f in enumerate(FEATURES) for j, g in enumerate(FEATURES)]
+    return [F.count("*").alias("n"), *first, *second]
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    first = [F.sum(f) for f in FEATURES]
-    second = [F.sum(F.col(f) * F.col(g)) for f in FEATURES for g in FEATURES]
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(*first).alias("first"), F.array(*second).alias("second"))
+def _arrays(count: Column, part: Column) -> list[Column]:
+    """Sums of the partial sums, each times `part`."""
+    return [
+        F.sum(count * part).alias("n"),
+        F.array(*[F.sum(F.col(f"a{k}") * part) for k in range(P)]).alias("first"),
+        F.array(*[F.sum(F.col(f"b{k}") * part) for k in range(P * P)]).alias("second"),
+    ]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and scaled median deviations, from histograms of the statistics."""
+def _medians(rows: DataFrame, value: list[Column]) -> DataFrame:
+    """(grp, m0..m4): medians from histograms, right to a bin."""
+    cells = rows.select("grp", F.posexplode(F.array(*[F.floor(v * GRID).cast("int") for v in value])).alias("k", "bin"))
+    cells = cells.groupBy("grp", "k", "bin").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("grp", "k")
+    upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    half = cells.withColumn("upto", upto).withColumn("all", F.sum("n").over(own)).where("2 * upto >= all")
+    middle = [F.min(F.when(F.col("k") == k, (F.col("bin") + 0.5) / GRID)).alias(f"m{k}") for k in range(P)]
+    return half.groupBy("grp").agg(*middle)
 
-    def median(frame: DataFrame, names: dict[str, Column]) -> DataFrame:
-        q = [F.percentile_approx(c, F.lit(0.5), F.lit(1000)).alias(k) for k, c in names.items()]
-        return frame.groupBy("grp").agg(*q)
 
-    mid = median(rows, {f"m{k}": F.col(f) for k, f in enumerate(FEATURES)})
-    dev = median(rows.join(mid, "grp"), {f"s{k}": F.abs(F.col(f) - F.col(f"m{k}")) for k, f in enumerate(FEATURES)})
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, mean, inv, det) before the first step."""
+    mid = settle(_medians(rows, [F.col(f) for f in FEATURES]))
+    away = rows.join(mid, "grp").select("grp", *[F.abs(F.col(f) - F.col(f"m{k}")).alias(f) for k, f in enumerate(FEATURES)])
+    dev = _medians(away, [F.col(f) for f in FEATURES]).select("grp", *[F.col(f"m{k}").alias(f"s{k}") for k in range(P)])
     spread = [F.greatest(F.lit(FLOORS[k]), 1.4826 * F.col(f"s{k}")) for k in range(P)]
     inv = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    return mid.join(dev, "grp").select("grp", F.array(*[F.col(f"m{k}") for k in range(P)]).alias("mean"), F.array(*inv).alias("inv"))
+    first = mid.join(dev, "grp").select(
+        "grp", F.lit(0).alias("start"), F.array(*[F.col(f"m{k}") for k in range(P)]).alias("mean"), F.array(*inv).alias("inv"), F.lit(1e9).alias("det")
+    )
+    draw = F.pmod(F.xxhash64(*FEATURES), F.lit(2))
+    some = rows.select("*", F.explode(F.when(draw == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("start"))
+    some = some.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").agg(*_arrays(F.col("n"), F.lit(1.0)))
+    return first.unionByName(_estimates(some, 1.0).select(*first.columns))
+
+
+def _nearest(bins: DataFrame) -> DataFrame:
+    """Sums over the nearest SHARE of each group's rows; of the bin that the share ends in, a part.
+
+    A group has at most some hundred bins, however many rows it has.
+    """
+    own = Window.partitionBy("grp", "start")
+    upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inner = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(own))
+    inner = inner.where(F.col("before") < SHARE * F.col("all"))
+    part = F.least(F.lit(1.0), (SHARE * F.col("all") - F.col("before")) / F.col("n"))
+    return inner.groupBy("grp", "start").agg(*_arrays(F.col("n"), part))
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """(grp, mean, inv) of rows(grp, f0..f4): reweighted minimum covariance determinant."""
-    fit = settle(_start(rows))
+    """(grp, n, mean, cov) of rows(grp, f0..f4): reweighted minimum covariance determinant."""
+    fit = settle(_starts(rows))
     near = F.floor(16 * F.log2(_distance() + F.lit(1e-12))).cast("int")
     for _ in range(STEPS):
         placed = rows.join(fit, "grp").withColumn("bin", near)
-        bins = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"), *_bin_sums())
-        fit = settle(_estimates(_nearest(bins), CONSISTENT))
-    inner = rows.join(fit, "grp").where(_distance() <= CHI2_975).select("grp", *FEATURES)
-    return settle(_estimates(_sums(inner), 1.0))
+        new = settle(_estimates(_nearest(placed.groupBy("grp", "start", "bin").agg(*_sums())), CONSISTENT))
+        moved = fit.select("grp", "start", F.col("det").alias("old")).join(new, ["grp", "start"])
+        most = moved.agg(F.max(F.abs(F.col("det") - F.col("old")))).first()[0]
+        release(fit)
+        fit = new
+        if most is None or most < TOLERANCE:
+            break
+    best = fit.groupBy("grp").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("x")).select("grp", "x.*")
+    inner = rows.join(best, "grp").where(_distance() <= CHI2_975).withColumn("start", F.lit(0))
+    sums = inner.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").agg(*_arrays(F.col("n"), F.lit(1.0)))
+    return settle(_estimates(sums, CONSISTENT_975).select("grp", "n", "mean", "cov"))
 
 
-def _bin_sums() -> list[Column]:
-    first = [F.sum(f).alias(f"a{k}") for k, f in enumerate(FEATURES)]
-    second = [F.sum(F.col(f) * F.col(g)).alias(f"b{P * i + j}") for i, f in enumerate(FEATURES) for j, g in enumerate(FEATURES)]
-    return first + second
+def _drawn(own: DataFrame, above: DataFrame) -> DataFrame:
+    """Estimates own(grp, above, n, mean, cov) drawn to those above(above, mean, cov) as by PRIOR_ROWS rows."""
 
+    def both(name: str) -> Column:
+        return F.transform(F.arrays_zip(name, f"{name}_above"), lambda x: (F.col("n") * x[name] + PRIOR_ROWS * x[f"{name}_above"]) / (F.col("n") + PRIOR_ROWS)).alias(name)
 
-def _nearest(bins: DataFrame) -> DataFrame:
-    """Sums over the bins of each group that hold its nearest three quarters.
+    up = above.select(F.col("grp").alias("above"), F.col("mean").alias("mean_above"), F.col("cov").alias("cov_above"))
+    return own.join(up, "above").select("grp", "n", both("mean"), both("cov"))
 
-    A group has at most some hundred bins, however many rows it has.
-    """
-    from pyspark.sql import Window
 
-    own = Window.partitionBy("grp")
-    upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    inner = bins.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(own))
-    inner = inner.where("before < 0.75 * all")
-    return inner.groupBy("grp").agg(
-        F.sum("n").alias("n"),
-        F.array(*[F.sum(f"a{k}") for k in range(P)]).alias("first"),
-        F.array(*[F.sum(f"b{k}") for k in range(P * P)]).alias("second"),
-    )
+def _inverted(fits: DataFrame) -> DataFrame:
+    """(grp, mean, inv) of the floored scatters."""
+
+    def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            inv = [np.linalg.inv(floored(np.asarray(c).reshape(P, P))).reshape(-1).tolist() for c in frame["cov"]]
+            yield pd.DataFrame({"grp": frame["grp"], "mean": frame["mean"], "inv": inv})
+
+    return fits.mapInPandas(invert, "grp string, mean array<double>, inv array<double>")
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -186,23 +244,17 @@ def quality_rules(documents: DataFrame) -> DataFrame:
             "n_dup_lines long, n_repeat_words long, n_lines long",
         )
     )
-    name = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")]
-    rows = stats.withColumn("own", F.concat(name[0], F.lit("\x01"), name[1]))
-    size = rows.groupBy("own").agg(F.count("*").alias("size"))
-    rows = rows.select("*", *_transformed())
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source"))
+    # Names of the three levels begin with their number, so they never meet.
+    level = [F.lit("0"), F.concat(F.lit("1"), lang), F.concat(F.lit("2"), lang, F.lit("\x01"), source)]
+    rows = stats.select("*", *_transformed(), *[n.alias(f"grp{k}") for k, n in enumerate(level)])
     sound = rows.where("n_words > 0")
-    big = size.where(F.col("size") >= LEAST_ROWS).select("own")
-    by_group = sound.join(big, "own").withColumnRenamed("own", "grp").select("grp", *FEATURES)
-    together = sound.select(F.lit("*").alias("grp"), *FEATURES)
-    fit = robust_estimates(settle(by_group.unionAll(together)))
-    every = fit.where("grp = '*'").select(F.col("mean").alias("mean_all"), F.col("inv").alias("inv_all"), F.lit(1).alias("one"))
-    placed = (
-        rows.join(fit.withColumnRenamed("grp", "own"), "own", "left")
-        .withColumn("one", F.lit(1))
-        .join(F.broadcast(every), "one", "left")  # one row
-        .withColumn("mean", F.coalesce("mean", "mean_all"))
-        .withColumn("inv", F.coalesce("inv", "inv_all"))
-    )
+    fit = robust_estimates(settle(sound.select(F.explode(F.array("grp0", "grp1", "grp2")).alias("grp"), *FEATURES)))
+    top = fit.where("grp = '0'")
+    langs = settle(_drawn(fit.where("grp like '1%'").withColumn("above", F.lit("0")), top))
+    names = sound.select(F.col("grp2").alias("grp"), F.col("grp1").alias("above")).distinct()
+    groups = settle(_inverted(_drawn(fit.where("grp like '2%'").join(names, "grp"), langs)))
+    placed = rows.join(groups.withColumnRenamed("grp", "grp2"), "grp2", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     distance = F.coalesce(_distance(), F.lit(0.0))
     return placed.select(
