@@ -4,7 +4,9 @@ Features of a text are densities per word: words of a lexicon learned from the
 labelled sample (and its strongest window), the lexicon's words near a second
 person, capitals, punctuation and obfuscated words. The lexicon holds the words
 with the largest likelihood ratio between toxic and other labelled texts. The trees are
-Spark ML's; a share of the sample that they don't see calibrates them.
+Spark ML's; each row that they learn from has features by a lexicon learned from the other
+parts of the sample, so that its own words don't flatter it. A share of the sample that
+neither sees calibrates the trees; the calibrated value is the score, and decides.
 
 The classifier is fitted on at most SAMPLE labelled rows, taken in the order of a
 hash of their ids; every document is scored, from its whole text.
@@ -12,8 +14,8 @@ hash of their ids; every document is scored, from its whole text.
 Defined cases: null and empty texts have features of zero and are scored like
 other texts; labels other than 0 and 1 are not used, and of contradicting labels
 of an id the larger counts; if the sample lacks a class, every score is the
-smoothed share of toxic labels; repeated rows are scored alike; other columns
-are not read.
+smoothed share of toxic labels; repeated rows are scored alike; texts of any
+length are scored whole; other columns are carried, never read or replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import settle, shared_dir
+from .storage import release, settle, shared_dir, unused
 
 SAMPLE, LEXICON = 20_000, 1_000
 TREES, DEPTH = 20, 3
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
+#: Parts of the sample that take turns in being left out of the lexicon.
+PARTS = 4
+#: What ties of the calibrated score are broken by, at most.
+TIE = 1e-6
 FEATURES = 11
 #: Lengths of the prefixes that may enter the lexicon, and words a task remembers.
 STEM = (5, 6, 7, 8)
@@ -128,30 +134,41 @@ def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return rows.where(fold(F.col("doc_id")) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """The words of sample(text, toxic) with the largest likelihood ratio, and their smoothed log-odds."""
+def learn_lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
+    """The words of sample(text, toxic, part) with the largest likelihood ratio, and their smoothed log-odds.
+
+    Lexicon p is learned from all parts but p, the last one from all.
+    """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bad, good = Counter(), Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (bad if toxic else good).update({x for w in set((text or "").split()) for x in stems(bare(w))})
-            if bad:
-                rows = [(w, n, good[w]) for w, n in bad.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["word", "bad", "good"])
-            rest = [(w, 0, n) for w, n in good.items() if w not in bad]
-            if rest:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rest, strict=True)], ["word", "bad", "good"])
-
-    n_bad, n_good = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    words = sample.select("text", "toxic").mapInArrow(counts, "word string, bad long, good long")
-    words = words.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("good") + 0.1) / (n_good + 0.2))
-    # Likelihood ratio against equal shares of both classes: frequent and pure words come first.
-    all_, share = F.col("bad") + F.col("good"), n_bad / (n_bad + n_good)
-    gain = F.col("bad") * F.log((F.col("bad") + 0.1) / (all_ * share)) + F.col("good") * F.log((F.col("good") + 0.1) / (all_ * (1 - share)))
-    rows = words.where("bad >= 3 and length(word) > 1").select("word", odds.alias("odds"), gain.alias("gain")).where("odds > 1.5")
-    return {r.word: r.odds for r in rows.orderBy(F.desc("gain"), "word").limit(size).collect()}
+            found = [[Counter(), Counter()] for _ in range(PARTS)]
+            for text, toxic, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
+                found[part][toxic].update({x for w in set((text or "").split()) for x in stems(bare(w))})
+            for part, (good, bad) in enumerate(found):
+                rows = [(w, part, bad[w], good[w]) for w in {**bad, **good}]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
+                        ["word", "part", "bad", "good"],
+                    )
+
+    total = sample.groupBy("part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()
+    words = sample.select("text", "toxic", "part").mapInArrow(counts, "word string, part int, bad long, good long")
+    words = words.where("length(word) > 1").groupBy("word", "part").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = settle(words.where(F.col("word").isNotNull()))
+    out = []
+    for left_out in range(PARTS + 1):
+        n_bad, n_good = (sum(r[c] for r in total if r.part != left_out) for c in ("bad", "good"))
+        own = words.where(F.col("part") != left_out).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 3")
+        odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("good") + 0.1) / (n_good + 0.2))
+        # Likelihood ratio against equal shares of both classes: frequent and pure words come first.
+        all_, share = F.col("bad") + F.col("good"), n_bad / max(n_bad + n_good, 1)
+        gain = F.col("bad") * F.log((F.col("bad") + 0.1) / (all_ * share)) + F.col("good") * F.log((F.col("good") + 0.1) / (all_ * (1 - share)))
+        rows = own.select("word", odds.alias("odds"), gain.alias("gain")).where("odds > 1.5")
+        out.append({r.word: r.odds for r in rows.orderBy(F.desc("gain"), "word").limit(size).collect()})
+    release(words)
+    return out
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float], name: str = "features") -> DataFrame:
@@ -183,8 +200,12 @@ class ToxicityModel:
         fit_bad = texts.where(~part).agg(F.min("toxic"), F.max("toxic")).first()
         if tuple(fit_bad) != (0, 1):
             return
-        self.lexicon = learn_lexicon(texts.where(~part))
-        rows = settle(with_features(texts, self.lexicon).select("doc_id", "toxic", "features"))
+        texts = texts.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int"))
+        *others, self.lexicon = learn_lexicons(texts.where(~part))
+        rows = with_features(texts.where(part), self.lexicon)
+        for left_out, lexicon in enumerate(others):
+            rows = rows.unionAll(with_features(texts.where(~part & (F.col("part") == left_out)), lexicon))
+        rows = settle(rows.select("doc_id", "toxic", "features"))
         rows = rows.withColumn("features", array_to_vector("features"))
         trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, minInstancesPerNode=3)
         # The sample is bounded: one task in the order of ids adds up alike in every run.
@@ -199,20 +220,21 @@ class ToxicityModel:
         scored = self.trees.transform(rows)
         return scored.withColumn("margin", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    def score(self, rows: DataFrame, name: str = "score", tmp: str = "features") -> DataFrame:
+    def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
         """The rows with a score column."""
         if self.trees is None:
             return rows.withColumn(name, F.lit(float(self.prior)))
-        model = self.trees.copy().setFeaturesCol("_features").setPredictionCol("_predicted").setProbabilityCol("_probability").setRawPredictionCol("_raw")
-        out = with_features(rows, self.lexicon, "_dense").withColumn("_features", array_to_vector("_dense"))
-        margin = vector_to_array("_probability")[1]
-        out = model.transform(out).withColumn("_margin", margin)
-        score = F.col("_margin")
+        dense, vector, guess, chance, raw, margin, fitted = unused(rows, "dense", "vector", "guess", "chance", "raw", "margin", "fitted")
+        model = self.trees.copy().setFeaturesCol(vector).setPredictionCol(guess).setProbabilityCol(chance).setRawPredictionCol(raw)
+        out = with_features(rows, self.lexicon, dense).withColumn(vector, array_to_vector(dense))
+        out = model.transform(out).withColumn(margin, vector_to_array(chance)[1])
+        score = F.col(margin)
         if self.calibration is not None:
-            out = self.calibration.copy().setFeaturesCol("_margin").setPredictionCol("_calibrated").transform(out)
-            # Steps have ties; a small share of the trees' own margin keeps their order.
-            score = 0.95 * F.col("_calibrated") + 0.05 * F.col("_margin")
-        return out.withColumn(name, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).select(*rows.columns, name)
+            out = self.calibration.copy().setFeaturesCol(margin).setPredictionCol(fitted).transform(out)
+            # Ties keep the order of the trees' margin, without moving a score over one half.
+            low = F.least(F.col(fitted) + TIE * F.col(margin), F.lit(0.5 - TIE / 2))
+            score = F.when(F.col(fitted) < 0.5, low).otherwise(F.greatest(F.col(fitted) - TIE * (1 - F.col(margin)), F.lit(0.5)))
+        return out.withColumn(name, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).select(*[F.col(f"`{c}`") for c in rows.columns], name)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
