@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import release, settle
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(sign) == seen or not sign[0]:
             break
         seen = tuple(sign)
-        edges = settle(_stars(edges))
+        before, edges = edges, settle(_stars(edges))
+        release(before)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

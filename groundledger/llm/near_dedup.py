@@ -10,12 +10,15 @@ members of a bucket that are still apart are compared with each other, block
 against block. Every link is confirmed on the full sets.
 
 With 128 slots in 32 bands of 4, a pair at the similarity of 0.75 shares no
-band with a probability of 6e-6, and less above it.
+band with a probability of 6e-6, and less above it; lower similarities are refused.
+
+Rows of a bucket of more than BLOCK are dealt to blocks by salted keys, so that a
+crowded bucket is spread over many tasks from the start.
 
 Defined cases: null or word-less texts have an empty set and stay alone; a
 text of one to four words has one shingle; rows that repeat a doc_id are one
-document; a row without doc_id is kept and has no component; other columns are
-not read.
+document; a row without doc_id is kept and has no component; texts of any length
+count whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import settle
+from .storage import release, settle
 from .words import U64, mix, parts, shingle_sets
 
 SLOTS, ROWS = 128, 4
@@ -36,8 +39,14 @@ BANDS = SLOTS // ROWS
 #: Bands tried with one hub a bucket, in turn; then buckets are compared in blocks.
 HUB_ROUNDS = ((0, 3), (3, BANDS))
 BLOCK = 256
-#: Signatures of pairs at 0.75 agree in fewer than half of their slots with a probability below 1e-9.
-LEAST_AGREEING = SLOTS // 2
+#: Tasks that the rows of a bucket with several blocks are spread over.
+SALTS = 64
+
+
+def least_agreeing(percent: int) -> int:
+    """Slots in which the signatures of a pair at the similarity agree but for a probability of about 1e-9: six deviations below."""
+    share = percent / 100
+    return int(SLOTS * share - 6 * (SLOTS * share * (1 - share)) ** 0.5)
 
 
 def super_minhash(items: np.ndarray, off: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -131,7 +140,7 @@ def _block_links(percent: int):
     earlier band holds too (by the keys that make the buckets), or whose
     signatures differ too much are passed over; the full sets decide on the others, and only links leave the task.
     """
-    names = ("key", "i", "j")
+    names, agreeing = ("key", "i", "j"), least_agreeing(percent)
 
     def compare(group: pa.Table) -> pa.RecordBatch | None:
         ids, comp = (group.column(c).to_numpy() for c in ("rep", "comp"))
@@ -146,7 +155,7 @@ def _block_links(percent: int):
             rest = np.flatnonzero(near) + k + 1
             same = (sign[rest] == sign[k]).sum(axis=1)
             first = (bands[rest] == bands[k]).argmax(axis=1)
-            for x in rest[(same >= LEAST_AGREEING) & (first == band)]:
+            for x in rest[(same >= agreeing) & (first == band)]:
                 both = len(np.intersect1d(items[k], items[x], assume_unique=True))
                 if 100 * both >= percent * (size[k] + size[x] - both):
                     a.append(ids[k])
@@ -173,6 +182,8 @@ def _block_links(percent: int):
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents(doc_id, text)."""
+    if not 75 <= percent <= 100:
+        raise ValueError("bands are made for similarities of 75 to 100 percent")
     signed = settle(
         documents.select("doc_id", "text").mapInArrow(
             _signatures,
@@ -199,7 +210,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     comp = none
 
     def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-        return settle(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)))
+        out = settle(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)))
+        release(comp)
+        return out
 
     def placed(rows: DataFrame) -> DataFrame:
         at = comp.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -217,30 +230,35 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         )
         pairs = (
             rows.join(hub, "key")
-            .where("comp != hub.comp and 4 * least(n_shingles, hub.n_shingles) >= 3 * greatest(n_shingles, hub.n_shingles)")
+            .where(f"comp != hub.comp and 100 * least(n_shingles, hub.n_shingles) >= {percent} * greatest(n_shingles, hub.n_shingles)")
             .select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
             .distinct()
         )
         comp = joined(comp, _links(pairs, texts, percent))
 
     rest = settle(apart(placed(crowd)))
-    count = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.hash("rep"), F.col("blocks"))
+    # Only buckets of several blocks are looked up; their keys meet the rows in SALTS places each.
+    count = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    count = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = (
-        rest.join(count, "key")
-        .withColumn("own", block)
+        rest.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+        .join(count, ["key", "salt"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
     )
     sets = texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
         _sets, "rep long, sign binary, bands binary, items binary"
     )
-    found = (
-        spread.join(settle(sets), "rep")
+    sets = settle(sets)
+    found = settle(
+        spread.join(sets, "rep")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
         .mapInArrow(_block_links(percent), "a long, b long")
     )
+    release(crowd, texts, rest, sets)
     comp = joined(comp, found)
     comp = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     comp = comp.groupBy("doc_id").agg(F.min("component").alias("component"))
