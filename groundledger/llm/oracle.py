@@ -30,9 +30,10 @@ spans as (
            length(m) as n
     from found),
 good as (select row_id, kind, kind_name, sha256(val) as h, s, s + n as e from spans where length(val) >= least),
-owners as (select h, count(distinct owner) as owners from good join docs using (row_id) group by h),
-kept as (
-    select g.*, o.owners <= 3 as live from good g join owners o using (h) where g.kind < 3 or o.owners <= 3),
+owners as (
+    select h, count(distinct owner) <= 3 and count(distinct (owner, repository)) <= 8 as live
+    from good join docs using (row_id) group by h),
+kept as (select g.*, o.live from good g join owners o using (h) where g.kind < 3 or o.live),
 line as (
     select row_id,
            count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,

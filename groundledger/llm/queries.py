@@ -35,7 +35,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A source is an owner; its documents of one language are a repository.
     repository = F.concat_ws("/", "source", "lang")
-    return secret_report(secret_scan(table(spark, sf_dir, "documents"), F.col("source"), repository))
+    return secret_report(secret_scan(table(spark, sf_dir, "documents"), F.col("source"), repository, ["doc_id"]))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,25 @@
 
 Three base kinds of spans are found by pattern; three further kinds (CANDIDATES)
 are proposed. Every value found is hashed, and the hashes are counted over the
-corpus by distinct repositories and owners. A value that few owners have looks
-like somebody's credential; one that many owners have was copied from an
-example. Proposed spans are added if their value is live-looking; base spans
-always stay and carry the verdict.
+corpus by distinct repositories and owners. A value of at most MOST_OWNERS owners
+and MOST_REPOSITORIES repositories looks like somebody's credential; one that
+more have was copied from an example. Proposed spans are added if their value is
+live-looking; base spans always stay and carry the verdict.
 
-Positions come from the pieces between the matches: a match starts after the
-pieces and matches before it. All offsets are code points, ends exclusive.
+A match starts after the pieces and matches before it: their lengths are summed
+over the matches of a row and kind, so a text with very many matches costs a sort
+of them. All offsets are code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; a null owner or repository is
-one owner or repository; repeated rows count their owner once; clashing columns
-of the input are not read.
+one owner or repository; repeated rows count their owner once; verdicts belong to
+rows, so rows without doc_id, or of one doc_id with different texts, have each
+their own; texts of any length are scanned whole; other columns are carried and
+never read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import settle
@@ -34,49 +37,41 @@ CANDIDATES = (
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", "^$"),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in CANDIDATES))
-#: A value of more owners than this is taken for a copied example.
-MOST_OWNERS = 3
+BASE_KINDS = 3
+#: A value of more owners or of more repositories is taken for a copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 3, 8
 
 
 def _found(text: Column, pattern: str, kind: str, lead: str, when: Column) -> Column:
-    """Array of (start, kind, end, value) of the leftmost matches that don't overlap."""
+    """The leftmost matches that don't overlap: the text between them in code points and bytes, their own lengths, the value."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rank = KINDS.index(kind)
-    step = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), matches.alias("match")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + F.length(x["piece"])).alias("start"),
-                            F.lit(rank).alias("kind"),
-                            (s["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"),
-                            F.regexp_replace(x["match"], lead, "").alias("value"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
-    return F.when(when, step).otherwise(none)
-
 
-def _spans(text: Column) -> tuple[Column, Column]:
-    """Base spans and proposed spans of a text, ordered by start, kind."""
-    assign = _found(text, ASSIGN, "assign", "^" + _LEAD, (text.contains(":") | text.contains("=")) & text.rlike(_LEAD))
-    assign = F.filter(assign, lambda x: F.length(x["value"]) >= 8)
-    access = _found(text, ACCESS, "access", "^$", text.contains("AKIA"))
-    hexed = _found(text, HEX, "hex", "^$", text.rlike(HEX))
-    more = [_found(text, pattern, kind, lead, text.rlike(pattern)) for kind, pattern, lead in CANDIDATES]
-    return F.array_sort(F.concat(assign, access, hexed)), F.array_sort(F.concat(*more))
+    def match(x: Column, nth: Column) -> Column:
+        value = F.regexp_replace(x["match"], lead, "")
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"),
+            nth.alias("nth"),
+            F.length(x["piece"]).alias("gap"),
+            F.length(x["match"]).alias("n"),
+            F.octet_length(x["piece"]).alias("gap_bytes"),
+            F.octet_length(x["match"]).alias("n_bytes"),
+            F.length(value).alias("value_n"),
+            F.sha2(value, 256).alias("hash"),
+        )
+
+    both = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda x: x["match"].isNotNull())
+    return F.when(when, F.transform(both, match)).otherwise(F.transform(F.slice(both, 1, 0), match))
+
+
+def _matches(text: Column) -> Column:
+    """All matches of all kinds in one array."""
+    found = [
+        _found(text, ASSIGN, "assign", "^" + _LEAD, (text.contains(":") | text.contains("=")) & text.rlike(_LEAD)),
+        _found(text, ACCESS, "access", "^$", text.contains("AKIA")),
+        _found(text, HEX, "hex", "^$", text.rlike(HEX)),
+    ]
+    found += [_found(text, pattern, kind, lead, text.rlike(pattern)) for kind, pattern, lead in CANDIDATES]
+    return F.concat(*found)
 
 
 def _joined(spans: Column) -> Column:
@@ -84,87 +79,99 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
 
 
-def _hashed(spans: Column) -> Column:
-    """Values leave the table as hashes only."""
-    return F.transform(
-        spans, lambda x: F.struct(x["start"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("hash"))
-    )
-
-
 def value_owners(values: DataFrame) -> DataFrame:
     """(hash, owners, repositories) of values(hash, owner, repository): distinct owners and repositories."""
     seen = values.select("hash", "owner", "repository").distinct()
     per_owner = seen.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
+    # An owner's repositories are known by owner and name, so counts add up.
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
 
 
-def secret_scan(documents: DataFrame, owner: Column, repository: Column, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """Spans of every row of documents(doc_id, text, ...).
-
-    (doc_id, base, added, live): arrays of (start, kind, end, hash), and the hashes
-    of the document's values that are live-looking.
+def secret_scan(
+    documents: DataFrame,
+    owner: Column,
+    repository: Column,
+    carried: list[str] | None = None,
+    most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
+) -> DataFrame:
+    """Spans of every row of documents(text, ...).
+
+    (doc, spans, cuts, last): doc holds the carried columns (all, if none are
+    named); spans are (start, kind, end, live), ordered, without the proposed ones
+    that aren't live; cuts are the byte ranges before each live span that are not
+    part of another one, last the byte at which the last live span ends.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base, more = _spans(text)
     scanned = settle(
-        documents.select("doc_id", owner.alias("owner"), repository.alias("repository"), base.alias("base"), more.alias("more"))
-        .withColumn("base", _hashed(F.col("base")))
-        .withColumn("more", _hashed(F.col("more")))
+        documents.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.struct(*[F.col(f"`{c}`") for c in carried or documents.columns]).alias("doc"),
+            F.coalesce(owner, F.lit("")).alias("owner"),
+            F.coalesce(repository, F.lit("")).alias("repository"),
+            _matches(text).alias("found"),
+        )
+    )
+    matches = scanned.where("size(found) > 0").select("row", "owner", "repository", F.inline("found"))
+    own = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (
+        matches.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(own).cast("int"))
+        .withColumn("end_byte", F.sum(F.col("gap_bytes") + F.col("n_bytes")).over(own).cast("int"))
+        .where(f"kind != {KINDS.index('assign')} or value_n >= 8")
+        .withColumn("start", F.col("end") - F.col("n"))
+        .withColumn("start_byte", F.col("end_byte") - F.col("n_bytes"))
     )
-    values = scanned.select("doc_id", "owner", "repository", F.explode(F.concat("base", "more")).alias("x")).select(
-        "doc_id", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), "x.hash"
+    spans = settle(spans.select("row", "owner", "repository", "kind", "start", "end", "start_byte", "end_byte", "hash"))
+    count = value_owners(spans)
+    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    spans = spans.join(count.select("hash", live.alias("live")), "hash").where(f"live or kind < {BASE_KINDS}")
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("from", F.coalesce(F.max(F.when(F.col("live"), F.col("end_byte"))).over(before), F.lit(0)))
+    cut = F.when(F.col("live") & (F.col("start_byte") >= F.col("from")), F.struct(F.col("start_byte").alias("upto"), "from"))
+    verdicts = spans.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"),
+        F.sort_array(F.collect_list(cut)).alias("cuts"),
+        F.max(F.when(F.col("live"), F.col("end_byte"))).alias("last"),
     )
-    live = value_owners(values).where(F.col("owners") <= most_owners).select("hash")
-    by_doc = values.join(live, "hash").where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("hash")).alias("live"))
-    return scanned.join(by_doc, "doc_id", "left").select(
-        "doc_id",
-        "base",
-        F.filter("more", lambda x: F.array_contains("live", x["hash"])).alias("added"),
-        F.coalesce("live", F.expr("cast(array() as array<string>)")).alias("live"),
+    # Only rows with a match take part in the join; most rows have none.
+    some = scanned.where("size(found) > 0").select("row", "doc").join(verdicts, "row", "left")
+    none = scanned.where("size(found) = 0").select("row", "doc").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in verdicts.schema if f.name != "row"}
     )
+    out = some.unionByName(none)
+    empty = [F.coalesce(c, F.array().cast(verdicts.schema[c].dataType)).alias(c) for c in ("spans", "cuts")]
+    return out.select("doc", *empty, "last")
 
 
-def _equals(kind: int):
-    return lambda x: x == kind
+def secret_report(found: DataFrame) -> DataFrame:
+    """The digest columns of secret_scan()'s rows, of which doc_id is carried."""
+    base = F.filter("spans", lambda x: x["kind"] < BASE_KINDS)
 
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
-def secret_report(found: DataFrame) -> DataFrame:
-    """The digest columns of secret_scan()'s rows."""
-    kinds = F.transform("base", lambda x: x["kind"])
-    count = [F.size(F.array_remove(F.transform(kinds, _equals(k)), False)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    spans = F.array_sort(F.concat("base", "added"))
     return found.select(
-        "doc_id",
-        *count,
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(spans).alias("spans"),
-        F.size("added").cast("long").alias("n_added"),
-        F.size(F.filter(spans, lambda x: F.array_contains("live", x["hash"]))).cast("long").alias("n_live"),
+        "doc.doc_id",
+        *[of_kind(k) for k in range(BASE_KINDS)],
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["kind"] >= BASE_KINDS)).cast("long").alias("n_added"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"),
     )
 
 
-def without_live_secrets(documents: DataFrame, found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def without_live_secrets(documents: DataFrame, owner: Column, repository: Column, mask: str = "[SECRET]") -> DataFrame:
     """The documents with the spans of live-looking values replaced by the mask; copied examples stay."""
-    spans = (
-        found.select("doc_id", F.array_sort(F.filter(F.concat("base", "added"), lambda x: F.array_contains("live", x["hash"]))).alias("_spans"))
-        .where("size(_spans) > 0")
-        .groupBy("doc_id")
-        .agg(F.max("_spans").alias("_spans"))
-    )
-    text = F.col("text")
-    masked = F.aggregate(
-        "_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(
-            F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["out"])
-            .otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask)))
-            .alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    joined = documents.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked))
+    found = secret_scan(documents, owner, repository)
+
+    def masked(raw: Column) -> Column:
+        kept = F.transform("cuts", lambda c: F.concat(F.substring(raw, c["from"] + 1, c["upto"] - c["from"]).cast("string"), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), F.substring(raw, F.col("last") + 1, F.octet_length(raw)).cast("string"))
+
+    # The lambda takes the text's bytes once, not once a span.
+    text = F.get(F.transform(F.array(F.encode("doc.text", "UTF-8")), masked), F.lit(0))
+    new = {"text": F.when(F.col("last").isNotNull(), text).otherwise(F.col("doc.text"))}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return joined.select(*documents.columns)
+        new["n_chars"] = F.when(F.col("last").isNotNull(), F.length(text).cast(kind)).otherwise(F.col("doc.n_chars"))
+    return found.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in documents.columns])

@@ -112,7 +112,7 @@ def test_quality_rules(docs, texts):
 
 
 def test_secrets(docs, texts):
-    found = secret_scan(docs, F.col("source"), F.col("lang"))
+    found = secret_scan(docs, F.col("source"), F.col("lang"), ["doc_id"])
     got = by_id(secret_report(found))
     kinds = (
         ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 8),
@@ -125,7 +125,7 @@ def test_secrets(docs, texts):
         assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(s[1] == i for s in spans) for i in range(3))
     assert any("bearer" in r.spans for r in got.values())
-    clean = by_id(without_live_secrets(docs, found))
+    clean = by_id(without_live_secrets(docs, F.col("source"), F.col("lang")))
     masked = [k for k in texts if clean[k].text != texts[k]]
     assert masked and all("[SECRET]" in clean[k].text and "AKIAABC" not in clean[k].text for k in masked)
 
