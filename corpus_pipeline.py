@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundledger.llm.decontamination import contaminated
-from groundledger.llm.mixing import mix, n_words
+from groundledger.llm.decontamination import without_contaminated
+from groundledger.llm.mixing import mixed
 from groundledger.llm.near_dedup import near_duplicates
-from groundledger.llm.secret_scan import secret_scan, without_live_secrets
-from groundledger.llm.storage import settle, table
+from groundledger.llm.secret_scan import without_live_secrets
+from groundledger.llm.storage import release, settle, table, unused
 from groundledger.llm.toxicity import ToxicityModel
 
 
@@ -23,38 +23,38 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = ToxicityModel(docs, table(spark, sf_dir, "labels"))
     if model.trees is None:
         return docs
-    return model.score(docs, "_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    (score,) = unused(docs, "score")
+    return model.score(docs, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, the one of the smallest id; of its equal rows one."""
+    gone, times = unused(docs, "gone", "times")
+    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    ids = ids.agg(F.bool_or(~F.col("kept")).alias(gone), F.count("*").alias(times)).where(f"`{gone}` or `{times}` > 1")
+    marked = settle(docs.join(settle(ids), "doc_id", "left").where(f"`{gone}` is null or not `{gone}`"))
+    once, again = marked.where(f"`{times}` is null"), marked.where(f"`{times}` > 1").dropDuplicates(["doc_id", "text"])
+    return once.unionAll(again).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with live-looking credentials masked; widely copied examples stay."""
     repository = F.concat_ws("/", "source", "lang")
-    return without_live_secrets(docs, secret_scan(docs, F.col("source"), repository))
+    return without_live_secrets(docs, F.col("source"), repository)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words taken and the copies these make.
 
-    Rows alike in id, source and size are given the larger of their shares, which
-    differ by a word at most. Columns named taken and copies are replaced.
+    Columns named taken and copies are replaced.
     """
     keep = [c for c in docs.columns if c not in ("taken", "copies")]
-    keys = [F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")]
-    plan = mix(docs).where("taken > 0").groupBy(*keys).agg(F.max("taken").alias("taken"), F.max("copies").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
-    return docs.select(*keep).join(plan, same).select(*keep, "taken", "copies")
+    return mixed(docs, keep).where("taken > 0").select("doc.*", "taken", "copies")
 
 
 STAGES = [
@@ -72,5 +72,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        release(before)
     return docs
