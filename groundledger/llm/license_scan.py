@@ -9,7 +9,8 @@ bigrams of the template, as all others are worse than these; places where too fe
 of them lie close enough together are never compared.
 
 Defined cases: null and empty texts have no licence; several licences in a text
-are reported each, with the best window (of equals the first, then the shortest);
+are reported each, with the best window (of equals the first, then the shortest),
+but for one that shares words with a better window of another;
 repeated rows are reported once a row; texts of any length are scanned whole;
 other columns are not read.
 """
@@ -108,8 +109,14 @@ class Templates:
             close = (own[k - 1 :] - own[: hi - lo - k + 1] < self.most[t]) & (rows[k - 1 :] == rows[: hi - lo - k + 1])
             for i in np.flatnonzero(close).tolist():
                 self._from(t, i, k, own, rows, value, best)
-        off = words.off
-        return [(r, name, dice, p - int(off[r]), n) for (r, name), (dice, p, n) in sorted(best.items())]
+        out: list[tuple[int, str, float, int, int]] = []
+        kept: dict[int, list[tuple[float, int, int]]] = {}
+        for (r, name), (dice, p, n) in sorted(best.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+            # A window that shares words with another licence's better one is that licence, not this.
+            if not any(d > dice and q < p + n and p < q + m for d, q, m in kept.get(r, ())):
+                kept.setdefault(r, []).append((dice, p, n))
+                out.append((r, name, dice, p - int(words.off[r]), n))
+        return sorted(out)
 
     def _from(self, t: int, i: int, k: int, own: np.ndarray, rows: np.ndarray, value: np.ndarray, best: dict) -> None:
         """Tries the windows of template t that begin on its i-th bigram in the texts."""
