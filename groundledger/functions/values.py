@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Square metres of the area units.
-UNIT_SQM = {"SQ_METER": 1.0, "HECTARE": 10_000.0, "ACRE": 4_046.8564224, "SQ_YARD": 0.83612736, "SQ_FOOT": 0.09290304}
+UNIT_SQM = {
+    "BIGHA": 2529.285, "BISWA": 2529.285 / 20, "ACRE": 4046.86, "HECTARE": 10_000.0, "SQUARE_METRE": 1.0,
+    "GUNTHA": 4046.86 / 40, "CENT": 4046.86 / 100,
+}
 #: First code points of the decimal digits of Arabic, Indic scripts and full width.
 _DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xFF10)
 #: Code-point ranges of the scripts told apart.
@@ -23,13 +26,19 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """Normal form C without white space at the edges, case-folded; lower() keeps a sharp s apart from ss."""
+    return text.map(lambda x: unicodedata.normalize("NFC", x).strip().casefold(), na_action="ignore")
+
+
 def ascii_digits(text: Column) -> Column:
     return F.translate(text, "".join(chr(z + d) for z in _DIGIT_ZEROS for d in range(10)), "0123456789" * len(_DIGIT_ZEROS))
 
 
 def tidy(text: Column) -> Column:
-    """White space collapsed and trimmed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(text, "\\s+", " ")), F.lit(""))
+    """Normal form C, white space collapsed and trimmed; empty becomes null."""
+    return F.nullif(F.trim(F.regexp_replace(nfc(text), "\\s+", " ")), F.lit(""))
 
 
 def plot_number(text: Column) -> Column:
@@ -48,7 +57,8 @@ def script_counts(text: Column) -> Column:
 
 
 def comparison_key(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")
+    """What two spellings are compared by: folded, without white space and the punctuation put between numbers and names."""
+    return F.regexp_replace(folded(text), "[\\s.,;:।|/\\\\-]+", "")
 
 
 def square_metres(value: Column, unit: Column) -> Column:

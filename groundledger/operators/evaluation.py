@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +63,54 @@ def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
     return rows.agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias(value))
 
 
-def chain_faults(events: DataFrame, payload: Column, sequence: str, hashed: str, previous: str) -> DataFrame:
-    """(sequence, fault) of a hash-chained log: GAP, BROKEN_LINK or TAMPERED.
+#: Fixed value: what the first event of a log is chained to.
+GENESIS = "0" * 64
+#: Events of a chain that are looked at side by side.
+CHAIN_RUN = 1 << 16
+
+
+def chained(events: DataFrame, chain: str, sequence: str, payload: str) -> DataFrame:
+    """The events with the hash before them and their own, appended in the order of sequence.
+
+    A chain can only be written one event after the other; chains are spread over tasks.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, GENESIS
+        for frame in frames:
+            before, after = [], []
+            for key, seq, text in frame[[chain, sequence, payload]].itertuples(index=False):
+                last = last if key == now else GENESIS
+                now = key
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{seq}|{text}".encode()).hexdigest()
+                after.append(last)
+            yield frame.assign(previous=before, hashed=after)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", previous string, hashed string"
+    return events.repartition(chain).sortWithinPartitions(chain, sequence).mapInPandas(run, schema)
+
+
+def chain_problems(events: DataFrame, chain: str, sequence: str, payload: str) -> DataFrame:
+    """(chain, sequence, problem) of events with previous and hashed: sequence_gap, broken_link, hash_mismatch, each on its own.
 
-    Each row stores the hash before it, so rows are checked in parallel once
-    their neighbours are known; the neighbour comes by a join on the sequence.
+    An event is compared with the one before it that exists, the first with the start
+    of the log. Runs of CHAIN_RUN numbers are ordered on their own, and the last
+    events of the runs once more, so a chain of any length is checked in parallel.
     """
-    before = events.select((F.col(sequence) + 1).alias(sequence), F.col(hashed).alias("_before"))
-    first = events.agg(F.min(sequence)).first()[0]
-    rows = events.join(before, sequence, "left")
-    fault = (
-        F.when(F.sha2(F.concat(F.col(previous), payload), 256) != F.col(hashed), "TAMPERED")
-        .when(F.col("_before").isNull() & (F.col(sequence) != F.lit(first)), "GAP")
-        .when(F.col("_before") != F.col(previous), "BROKEN_LINK")
+    run = F.floor(F.col(sequence) / CHAIN_RUN)
+    rows = events.withColumn("run", run)
+    own = Window.partitionBy(chain, "run").orderBy(sequence)
+    rows = rows.withColumn("s", F.lag(sequence).over(own)).withColumn("h", F.lag("hashed").over(own))
+    last = rows.groupBy(chain, "run").agg(F.max_by(F.struct(F.col(sequence).alias("s"), F.col("hashed").alias("h")), sequence).alias("tail"))
+    last = last.withColumn("tail", F.lag("tail").over(Window.partitionBy(chain).orderBy("run"))).where("tail is not null")
+    rows = rows.join(last, [chain, "run"], "left")
+    s, h = F.coalesce("s", "tail.s", F.lit(0)), F.coalesce("h", "tail.h", F.lit(GENESIS))
+    want = F.sha2(F.concat_ws("|", "previous", sequence, payload), 256)
+    found = F.array(
+        F.when(F.col(sequence) != s + 1, "sequence_gap"), F.when(F.col("previous") != h, "broken_link"), F.when(want != F.col("hashed"), "hash_mismatch")
     )
-    return rows.select(sequence, fault.alias("fault")).where("fault is not null")
+    return rows.select(chain, sequence, F.explode(F.array_compact(found)).alias("problem"))
 
 
 def leaked(rows: DataFrame, key: str, split: str) -> DataFrame:

@@ -7,24 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 8
-
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, depth) of nodes(id, parent_id), each node its own ancestor at depth 0.
 
-    One join a level, MOST_LEVELS at most, so cycles end; a node that would meet
-    itself again is left out.
+    Every round joins what is known with itself and so doubles the depth, until
+    nothing is new; a tree of any depth takes its logarithm. On a cycle each
+    ancestor counts once, at its least depth.
     """
-    parent = nodes.where("parent_id is not null").select(F.col("id").alias("ancestor"), "parent_id")
-    level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    levels = [level]
-    for depth in range(1, MOST_LEVELS + 1):
-        level = level.join(parent, "ancestor").select("id", F.col("parent_id").alias("ancestor"), F.lit(depth).alias("depth")).where("id != ancestor")
-        if level.isEmpty():
+    reach = nodes.where("parent_id is not null and parent_id != id").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")).persist()
+    step, known = 1, reach.count()
+    while True:
+        far = reach.where(F.col("depth") == step).select("id", F.col("ancestor").alias("middle"))
+        more = far.join(reach.select(F.col("id").alias("middle"), "ancestor", (F.col("depth") + step).alias("depth")), "middle").where("id != ancestor")
+        new = reach.unionByName(more.select("id", "ancestor", "depth")).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).persist()
+        step, before, known = 2 * step, known, new.count()
+        reach.unpersist()
+        reach = new
+        if known == before:
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")).unionByName(reach)
 
 
 def descendants(closed: DataFrame, root: str) -> DataFrame:

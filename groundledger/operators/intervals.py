@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import lcm_of, share_parts
+
 
 def as_of(date: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
     """The span covers the date; both ends count, an open end is unlimited."""
@@ -58,3 +60,21 @@ def legal_transitions(history: DataFrame, edges: DataFrame, key: str, order: str
     own = Window.partitionBy(key).orderBy(order)
     steps = history.select(key, order, F.lag(state).over(own).alias("source"), F.col(state).alias("target")).where("source is not null and source != target")
     return steps.join(F.broadcast(edges), ["source", "target"], "left_anti")  # a state machine's edges, some dozens
+
+
+def whole_at_pivots(spans: DataFrame, key: str, share: str) -> DataFrame:
+    """(key, pivot, whole): whether the shares held on each day on which a span begins add up to exactly one.
+
+    Shares become whole multiples of the key's common denominator. What begins is
+    added and what has ended is taken away along the days, so no span meets another.
+    """
+    num, den = share_parts(F.col(share))
+    good = spans.select(key, "valid_from", "valid_to", num.alias("num"), den.alias("den")).where("num is not null and den is not null")
+    good = good.where("valid_to is null or valid_to >= valid_from")
+    common = good.groupBy(key).agg(lcm_of(F.collect_set("den")).alias("common"))
+    good = good.join(common, key).withColumn("units", F.col("num") * (F.col("common") / F.col("den")).cast("long"))
+    begins = good.select(key, "common", F.col("valid_from").alias("day"), "units", F.lit(1).alias("pivot"))
+    ends = good.where("valid_to is not null").select(key, "common", F.date_add("valid_to", 1).alias("day"), (-F.col("units")).alias("units"), F.lit(0).alias("pivot"))
+    days = begins.unionByName(ends).groupBy(key, "common", "day").agg(F.sum("units").alias("units"), F.max("pivot").alias("pivot"))
+    held = F.sum("units").over(Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return days.withColumn("held", held).where("pivot = 1").select(key, F.col("day").alias("pivot"), (F.col("held") == F.col("common")).alias("whole"))

@@ -4,40 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.values import lcm_of
-from ..operators.evaluation import chain_faults, confusion, with_scores
-from ..operators.rules import anomaly_signals, findings
+from ..operators.evaluation import confusion, with_scores
 from ..sources.sinks import insert_absent, reconcile_flags, upsert
 from ..sources.tables import table
 from .catalogue import query
 
 
-@query("""select p_partkey, 'SIZE_RANGE' as rule, 'ERROR' as severity from part where p_size > 48
-union all select p_partkey, 'BRAND_FORMAT', 'WARNING' from part where not regexp_full_match(p_brand, 'Brand#[1-4][0-9]')
-union all select p_partkey, 'PRICE_LOW', 'INFO' from part where p_retailprice < 950""")
-def x01_validation_findings(spark, d):
-    rules = [
-        ("SIZE_RANGE", "ERROR", F.col("p_size") > 48),
-        ("BRAND_FORMAT", "WARNING", ~F.col("p_brand").rlike("^Brand#[1-4][0-9]$")),
-        ("PRICE_LOW", "INFO", F.col("p_retailprice") < 950),
-    ]
-    return findings(table(spark, d, "part"), ["p_partkey"], rules).select("p_partkey", "rule", "severity")
-
-
-@query("""with f as (select l_partkey, count(*) as n, count(distinct l_suppkey) as s, max(l_quantity) / nullif(min(l_quantity), 0) as ratio from lineitem group by 1)
-select l_partkey, 'MANY_LINES' as anomaly, least(n / 60.0, 1.0) as score from f where n > 35
-union all select l_partkey, 'AREA_JUMP', least(ratio / 50.0, 1.0) from f where ratio >= 3 and s > 20""")
-def x03_anomaly_rules(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(
-        F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("s"), F.try_divide(F.max("l_quantity"), F.min("l_quantity")).alias("ratio")
-    )
-    rules = [
-        ("MANY_LINES", F.col("n") > 35, F.least(F.col("n") / 60.0, F.lit(1.0))),
-        ("AREA_JUMP", (F.col("ratio") >= 3) & (F.col("s") > 20), F.least(F.col("ratio") / 50.0, F.lit(1.0))),
-    ]
-    return anomaly_signals(rows, ["l_partkey"], rules)
-
-
 @query("""with flags as (select p_partkey, case when p_size % 2 = 0 then 'A' else 'B' end as kind, case when p_size % 7 = 0 then 'DISMISSED' when p_size % 5 = 0 then 'RESOLVED' else 'OPEN' end as status from part where p_size <= 30),
 signals as (select p_partkey, case when p_size % 3 = 0 then 'A' else 'B' end as kind from part where p_size >= 20)
 select coalesce(f.p_partkey, s.p_partkey) as p_partkey, coalesce(f.kind, s.kind) as kind,
@@ -63,19 +35,6 @@ def k14_insert_absent(spark, d):
     return insert_absent(rows.where("o_orderstatus = 'F'").select("o_orderkey", "digest"), rows.select("o_orderkey", "digest"), ["o_orderkey", "digest"])
 
 
-@query("""with e as (select event_id, event_type || ':' || user_id as payload from events),
-h as (select event_id, payload, sha256('genesis' || (event_id - 1)) as previous from e),
-c as (select event_id, previous, case when event_id % 97 = 0 then sha256('x') else sha256(previous || payload) end as hashed from h),
-n as (select c.*, sha256(previous || payload) as want, b.hashed as before from c join h using (event_id, previous) left join (select event_id + 1 as event_id, hashed from c) b using (event_id))
-select event_id, case when want <> hashed then 'TAMPERED' when before is null and event_id <> (select min(event_id) from c) then 'GAP' when before <> previous then 'BROKEN_LINK' end as fault
-from n where case when want <> hashed then 'TAMPERED' when before is null and event_id <> (select min(event_id) from c) then 'GAP' when before <> previous then 'BROKEN_LINK' end is not null""")
-def a30_chain_verification(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.concat_ws(":", "event_type", "user_id").alias("payload"))
-    rows = rows.withColumn("previous", F.sha2(F.concat(F.lit("genesis"), F.col("event_id") - 1), 256))
-    hashed = F.when(F.col("event_id") % 97 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2(F.concat("previous", "payload"), 256))
-    return chain_faults(rows.withColumn("hashed", hashed), F.col("payload"), "event_id", "hashed", "previous")
-
-
 @query("""with t as (select distinct l_returnflag as field, l_orderkey, l_linenumber from lineitem where l_discount > 0.02),
 f as (select distinct l_returnflag as field, l_orderkey, l_linenumber from lineitem where l_tax > 0.03),
 c as (select coalesce(t.field, f.field) as field, count(*) filter (t.field is not null and f.field is not null) as tp, count(*) filter (t.field is null) as fp, count(*) filter (f.field is null) as fn
@@ -85,13 +44,3 @@ def a23_confusion(spark, d):
     rows = table(spark, d, "lineitem").withColumn("field", F.col("l_returnflag"))
     keys = ["field", "l_orderkey", "l_linenumber"]
     return with_scores(confusion(rows.where("l_discount > 0.02"), rows.where("l_tax > 0.03"), keys, "field")).drop("f1")
-
-
-@query("""with s as (select l_orderkey, count(*) as n from lineitem group by 1)
-select l_orderkey, true as whole from s""")
-def a22_exact_share_sum(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey")
-    n = lines.groupBy("l_orderkey").agg(F.count("*").alias("den"))
-    shares = lines.join(n, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("den").alias("dens"), F.count("*").alias("n"), F.first("den").alias("den"))
-    common = shares.withColumn("common", lcm_of(F.col("dens")))
-    return common.select("l_orderkey", (F.col("n") * (F.col("common") / F.col("den")).cast("long") == F.col("common")).alias("whole"))

@@ -114,12 +114,6 @@ def j12_same_key_twins(spark, d):
     return table(spark, d, "part").join(n, ["p_brand", "p_type", "p_size"]).select("p_partkey", (F.col("n") - 1).alias("twins"))
 
 
-@query("""select c_custkey, coalesce(n_name, upper(c_mktsegment)) as label from customer left join nation on n_nationkey = c_nationkey and n_regionkey = 2""")
-def j25_fallback_lookup(spark, d):
-    some = table(spark, d, "nation").where("n_regionkey = 2")
-    return table(spark, d, "customer").join(some, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.upper("c_mktsegment")).alias("label"))
-
-
 @query("""select 'lineitem.orders' as edge, count(*) as missing from lineitem where l_orderkey not in (select o_orderkey from orders)
 union all select 'orders.customer', count(*) from orders where o_custkey not in (select c_custkey from customer)
 union all select 'labels.documents', count(*) from labels where doc_id not in (select doc_id from documents)
