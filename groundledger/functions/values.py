@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,3 +143,27 @@ def box_overlap(a: str, b: str) -> Column:
     w = F.least(F.col(f"{a}_x2"), F.col(f"{b}_x2")) - F.greatest(F.col(f"{a}_x1"), F.col(f"{b}_x1"))
     h = F.least(F.col(f"{a}_y2"), F.col(f"{b}_y2")) - F.greatest(F.col(f"{a}_y1"), F.col(f"{b}_y1"))
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
+
+
+def content_digest(fields: dict[str, Column]) -> tuple[Column, Column]:
+    """Canonical JSON (keys in order, nulls kept, no blanks) of the fields, and its SHA-256."""
+    body = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return body, F.sha2(body, 256)
+
+
+#: Fixed value: numbers in a hashed vector.
+NGRAM_SIZE = 768
+
+
+@F.pandas_udf("array<double>")
+def ngram_vector(text: pd.Series) -> pd.Series:
+    """Counts of the lower-cased text's trigrams by an 8-byte BLAKE2b digest modulo NGRAM_SIZE, scaled to length one."""
+
+    def vector(value: str) -> list[float]:
+        plain = f"  {unicodedata.normalize('NFC', value.lower())}  "
+        out = np.zeros(NGRAM_SIZE)
+        for k in range(len(plain) - 2):
+            out[int.from_bytes(blake2b(plain[k : k + 3].encode(), digest_size=8).digest(), "big") % NGRAM_SIZE] += 1
+        return (out / (np.linalg.norm(out) or 1.0)).tolist()
+
+    return text.map(vector, na_action="ignore")

@@ -66,6 +66,24 @@ VIEWS = {
         case when l_partkey % 6 = 0 then null else round(l_discount * 10, 4) end as score,
         case l_returnflag when 'A' then 'OPEN' when 'R' then 'DISMISSED' else 'RESOLVED' end as status
         from {lineitem} where l_quantity >= 40""",
+    # Texts as they stand on a page, in Devanagari digits where forms have them.
+    "scans": """select p_partkey as scan_id, field, raw from (
+        select p_partkey, 'KHASRA' as field, translate((p_partkey % 150) || case p_size % 4 when 0 then '' when 1 then ' / 2' when 2 then '।3' else '|4 | 5' end, '0123456789', '०१२३४५६७८९') as raw from {part}
+        union all select p_partkey, 'KHATA', 'खाता ' || translate(cast(p_size as string), '0123456789', '०१२३४५६७८९') from {part}
+        union all select p_partkey, 'AREA', case when p_size % 7 = 0 then 'x' else p_size || ',' || (100 + p_partkey % 900) || '.' || (10 + p_partkey % 90) end from {part} where p_partkey % 2 = 0
+        union all select p_partkey, 'AREA', p_size || '.' || (p_partkey % 100) || ' बीघा' from {part} where p_partkey % 2 = 1
+        union all select p_partkey, 'AREA_UNIT', case p_partkey % 6 when 0 then ' बीघा ' when 1 then 'एकड़' when 2 then 'గుంటలు 3' when 3 then 'வ சென்ட்' when 4 then 'kanal' else 'वर्ग  मीटर' end from {part}
+        union all select p_partkey, 'SHARE', case when p_partkey % 9 = 0 then ' 1 ' else translate((p_partkey % 5) || ' / 0' || (p_partkey % 4), '0123456789', '०१२३४५६७८९') end from {part}
+        union all select p_partkey, 'RECORD_YEAR', translate(cast(1950 + p_partkey % 60 as string), '0123456789', '०१२३४५६७८९') || case p_size % 3 when 0 then ' – 51' when 1 then '' else '-1999' end from {part}
+        union all select p_partkey, 'DATE', translate((p_partkey % 34) || case p_size % 3 when 0 then '/' when 1 then '-' else '.' end || (p_size % 14) || '/' || (1900 + p_partkey % 110), '0123456789', '०१२३४५६७८९') from {part}
+        union all select p_partkey, 'OWNER', ' : - ' || p_name || case when p_size % 2 = 0 then ' –' else '' end from {part}
+        union all select p_partkey, 'LAND_CLASS', '  ' || p_type || '  ' || p_brand from {part}) x""",
+    # Questions put to an assistant.
+    "questions": """select c_custkey as question_id, c_custkey as asked_by, case c_custkey % 11
+        when 0 then 'Why is this flagged as suspicious?' when 1 then 'Show low confidence fields in ' || n_name when 2 then 'Compare the area with the historical record'
+        when 3 then 'In 1998, who owned khasra ' || (c_custkey % 150) || '?' when 4 then 'What changed? history of ' || (c_custkey % 150) || '/' || (c_custkey % 3)
+        when 5 then 'How many parcels do I hold' when 6 then 'how big is plot P' || c_custkey when 7 then 'मेरी भूमि' when 8 then 'which documents needs review'
+        when 9 then 'area of ' || (c_custkey % 150) else 'hello from ' || lower(n_name) end as question from {customer} join {nation} on c_nationkey = n_nationkey""",
     # Corrections that people made to readings.
     "corrections": """select l_orderkey * 10 + l_linenumber as correction_id, l_orderkey as deed_id, l_linenumber as line, l_suppkey as corrected_by,
         case l_linenumber when 1 then 'VILLAGE' when 2 then 'KHASRA' when 3 then 'KHATA' when 4 then 'AREA' when 5 then 'AREA_UNIT' when 6 then 'DATE' else 'MUTATION' end as field,
