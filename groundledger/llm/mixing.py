@@ -33,8 +33,9 @@ MOST_COPIES = 2
 NEWTON_STEPS = 100
 #: A source whose words are within this share of the target is solved.
 CLOSE = 1e-9
-#: Bins of a unit of rate + u; one of them is put in order for each source.
-BINS = 1 << 16
+#: Bins of a unit of rate + u, and how many make a coarse one. The bin in which a source meets its
+#: target is found among coarse bins first, then in one of them; its rows alone are put in order.
+BINS, COARSE = 1 << 20, 1 << 10
 
 
 def n_words(text: Column) -> Column:
@@ -115,6 +116,13 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return state.select("source", "mean_size", F.when(~F.col("full"), F.col("lam")).alias("lam"))
 
 
+def _reached(bins: DataFrame) -> DataFrame:
+    """Of bins(own, goal, before, bin, words) the one in which each source's words reach the goal; before counts all words ahead of it."""
+    upto = Window.partitionBy("own").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    return bins.where("before < goal and before + words >= goal")
+
+
 def mixed(
     documents: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST_COPIES
 ) -> DataFrame:
@@ -145,11 +153,12 @@ def mixed(
 
     steps = F.array(*[F.col("bin") + BINS * j for j in range(most)])
     slots = rows.where("size > 0").select("own", "goal", "size", F.explode(steps).alias("bin"))
-    bins = slots.groupBy("own", "goal", "bin").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("own").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    # In the bin where the words reach the goal lies the residue's end.
-    edge = settle(bins.where("before < goal and before + words >= goal").select(F.col("own").alias("at"), F.col("bin").alias("edge"), "before"))
+    slots = slots.withColumn("coarse", F.floor(F.col("bin") / COARSE).cast("int"))
+    first = _reached(slots.withColumn("before", F.lit(0)).groupBy("own", "goal", "before", F.col("coarse").alias("bin")).agg(F.sum("size").alias("words")))
+    first = first.select(F.col("own").alias("at"), F.col("bin").alias("edge"), "before")
+    inside = slots.join(first, F.col("own").eqNullSafe(F.col("at")) & (F.col("coarse") == F.col("edge")))
+    edge = settle(_reached(inside.groupBy("own", "goal", "before", "bin").agg(F.sum("size").alias("words"))))
+    edge = edge.select(F.col("own").alias("at"), F.col("bin").alias("edge"), "before")
     placed = rows.join(edge, F.col("own").eqNullSafe(F.col("at")), "left")
     whole = sum((F.coalesce(F.col("bin") + BINS * j < F.col("edge"), F.lit(False)).cast("long") for j in range(most)), F.lit(0))
     here = (F.col("size") > 0) & (F.pmod(F.col("bin"), F.lit(BINS)) == F.pmod(F.col("edge"), F.lit(BINS)))
