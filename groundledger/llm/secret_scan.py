@@ -42,6 +42,9 @@ BASE_KINDS = 3
 MOST_OWNERS, MOST_REPOSITORIES = 3, 8
 
 
+_MATCH = "kind:int,nth:int,gap:int,n:int,gap_bytes:int,n_bytes:int,value_n:int,hash:string"
+
+
 def _found(text: Column, pattern: str, kind: str, lead: str, when: Column) -> Column:
     """The leftmost matches that don't overlap: the text between them in code points and bytes, their own lengths, the value."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -60,7 +63,8 @@ def _found(text: Column, pattern: str, kind: str, lead: str, when: Column) -> Co
         )
 
     both = F.filter(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), lambda x: x["match"].isNotNull())
-    return F.when(when, F.transform(both, match)).otherwise(F.transform(F.slice(both, 1, 0), match))
+    none = F.expr(f"cast(array() as array<struct<{_MATCH}>>)")
+    return F.when(when, F.transform(both, match)).otherwise(none)
 
 
 def _matches(text: Column) -> Column:
