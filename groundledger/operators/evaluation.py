@@ -39,6 +39,20 @@ def calibration_error(rows: DataFrame, probability: Column, label: Column, bins:
     )
 
 
+def grouped_calibration(rows: DataFrame, group: str, probability: Column, label: Column, bins: int = 8) -> DataFrame:
+    """(worst, gap, brier, accuracy): the worst group's calibration error and the distance to the best one's, and two figures over all rows."""
+    p = rows.select(group, probability.alias("p"), label.cast("double").alias("y"))
+    cells = p.groupBy(group, F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")).agg(
+        F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"),
+        F.sum((F.col("p") - F.col("y")) ** 2).alias("sq"), F.count_if((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("right"),
+    )
+    groups = cells.groupBy(group).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), *[F.sum(c).alias(c) for c in ("n", "sq", "right")])
+    return groups.agg(
+        F.max("ece").alias("worst"), (F.max("ece") - F.min("ece")).alias("gap"),
+        (F.sum("sq") / F.sum("n")).alias("brier"), (F.sum("right") / F.sum("n")).alias("accuracy"),
+    )
+
+
 def skyline(rows: DataFrame, high: str, low: str, ranges: int = 64) -> DataFrame:
     """Rows that no other beats with more of `high` and no more of `low`, or as much of `high` and less of `low`.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,28 @@ def xml_records(rows: DataFrame, key: str, fields: list[str], tag: str = "Record
     """(key, xml): a flat XML element of the fields; nulls are empty elements."""
     flat = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields])
     return rows.select(key, F.to_xml(flat, {"rowTag": tag}).alias("xml"))
+
+
+def without_stale(old: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of old whose keys came in; the others are stale."""
+    return old.join(incoming.select(*keys), keys, "left_semi").select(*old.columns)
+
+
+def changed_where(rows: DataFrame, when: Column, new: dict[str, Column]) -> DataFrame:
+    """The rows with new values in the columns named, where the condition holds."""
+    keep = F.coalesce(when, F.lit(False))
+    # One projection, so that no condition sees a value changed by another.
+    return rows.select(*[F.when(keep, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def numbered_ids(rows: DataFrame, key: str, taken: DataFrame, form: str) -> DataFrame:
+    """(key, external_id): numbers after taken(most), one row, in the order of the key.
+
+    Rows are sorted across partitions; a row's number is its place in its partition
+    after the rows of the partitions before, which are summed on one row each.
+    """
+    placed = rows.orderBy(key).withColumn("part", F.spark_partition_id()).withColumn("inner", F.monotonically_increasing_id() % F.lit(1 << 33)).persist()
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = placed.join(sizes.select("part", ahead.alias("ahead")), "part").join(F.broadcast(taken))  # one row
+    return nth.select(key, F.format_string(form, F.col("most") + F.col("ahead") + F.col("inner") + 1).alias("external_id"))
