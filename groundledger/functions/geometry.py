@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .values import planar_area
 
@@ -50,7 +51,7 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def convex_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area that two convex polygons share: one is clipped along the other's edges; for the pairs whose boxes meet."""
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Square metres of the area units.
 UNIT_SQM = {
@@ -155,7 +155,7 @@ def content_digest(fields: dict[str, Column]) -> tuple[Column, Column]:
 NGRAM_SIZE = 768
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def ngram_vector(text: pd.Series) -> pd.Series:
     """Counts of the lower-cased text's trigrams by an 8-byte BLAKE2b digest modulo NGRAM_SIZE, scaled to length one."""
 
