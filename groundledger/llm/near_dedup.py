@@ -192,7 +192,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     )
     same_set = ["n_shingles", "set_a", "set_b"]
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy(*same_set).agg(F.min("doc_id").alias("rep"))
+    # Settled, so that the join has a shuffle on either side and a large group of equal sets can be split.
+    classes = settle(some.groupBy(*same_set).agg(F.min("doc_id").alias("rep")))
     member = settle(some.select("doc_id", *same_set).join(classes, same_set).select("doc_id", "rep"))
     reps = member.where("doc_id = rep").select("doc_id").distinct()
 

@@ -52,6 +52,8 @@ FLOORS = (0.25, 0.05, 0.03, 0.08, 0.08)
 CONSISTENT, CONSISTENT_975 = 0.75 / 0.5310, 0.975 / 0.9239
 #: Bins of a unit of a statistic, for medians.
 GRID = 200
+#: Estimates (of some 500 bytes) that are handed to every task; more are joined by a shuffle.
+MOST_SHARED = 20_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -124,6 +126,11 @@ def floored(cov: np.ndarray) -> np.ndarray:
     return (vector * np.maximum(value, 1.0)) @ vector.T * unit
 
 
+def _beside(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """The rows with the estimate of their group; a hot group's rows stay where they are while there are few estimates."""
+    return rows.join(F.broadcast(few) if few.count() <= MOST_SHARED else few, on, how)
+
+
 def _estimates(sums: DataFrame, scale: float) -> DataFrame:
     """(grp, start, n, mean, cov, inv, det) from one row of sums for each group and start; det is a logarithm."""
 
@@ -169,7 +176,7 @@ def _medians(rows: DataFrame, value: list[Column]) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """(grp, start, mean, inv, det) before the first step."""
     mid = settle(_medians(rows, [F.col(f) for f in FEATURES]))
-    away = rows.join(mid, "grp").select("grp", *[F.abs(F.col(f) - F.col(f"m{k}")).alias(f) for k, f in enumerate(FEATURES)])
+    away = _beside(rows, mid, "grp").select("grp", *[F.abs(F.col(f) - F.col(f"m{k}")).alias(f) for k, f in enumerate(FEATURES)])
     dev = _medians(away, [F.col(f) for f in FEATURES]).select("grp", *[F.col(f"m{k}").alias(f"s{k}") for k in range(P)])
     spread = [F.greatest(F.lit(FLOORS[k]), 1.4826 * F.col(f"s{k}")) for k in range(P)]
     inv = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
@@ -200,7 +207,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     fit = settle(_starts(rows))
     near = F.floor(16 * F.log2(_distance() + F.lit(1e-12))).cast("int")
     for _ in range(STEPS):
-        placed = rows.join(fit, "grp").withColumn("bin", near)
+        placed = _beside(rows, fit, "grp").withColumn("bin", near)
         new = settle(_estimates(_nearest(placed.groupBy("grp", "start", "bin").agg(*_sums())), CONSISTENT))
         moved = fit.select("grp", "start", F.col("det").alias("old")).join(new, ["grp", "start"])
         most = moved.agg(F.max(F.abs(F.col("det") - F.col("old")))).first()[0]
@@ -209,7 +216,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         if most is None or most < TOLERANCE:
             break
     best = fit.groupBy("grp").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("x")).select("grp", "x.*")
-    inner = rows.join(best, "grp").where(_distance() <= CHI2_975).withColumn("start", F.lit(0))
+    inner = _beside(rows, settle(best), "grp").where(_distance() <= CHI2_975).withColumn("start", F.lit(0))
     sums = inner.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").agg(*_arrays(F.col("n"), F.lit(1.0)))
     return settle(_estimates(sums, CONSISTENT_975).select("grp", "n", "mean", "cov"))
 
@@ -254,7 +261,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     langs = settle(_drawn(fit.where("grp like '1%'").withColumn("above", F.lit("0")), top))
     names = sound.select(F.col("grp2").alias("grp"), F.col("grp1").alias("above")).distinct()
     groups = settle(_inverted(_drawn(fit.where("grp like '2%'").join(names, "grp"), langs)))
-    placed = rows.join(groups.withColumnRenamed("grp", "grp2"), "grp2", "left")
+    placed = _beside(rows, groups.withColumnRenamed("grp", "grp2"), "grp2", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     distance = F.coalesce(_distance(), F.lit(0.0))
     return placed.select(

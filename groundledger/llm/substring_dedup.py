@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import release, settle, unused
-from .words import _BYTE, _GOLDEN, _MULT, _SPACE, U64, mix, parts, text_bytes
+from .words import _BYTE, _SPACE, U64, parts, text_bytes
 
-WINDOW, MEAN_BITS, MAX_CHUNK, LEAST_WORDS = 32, 5, 4096, 16
+WINDOW, MEAN_BITS, MAX_CHUNK, LEAST_WORDS = 32, 5, 4096, 12
 _GEAR = (_BYTE >> np.uint64(32)).astype(np.uint32)
-#: A second polynomial hash, for the texts' beginnings: its byte values, its base and the base's inverse modulo 2**64.
-_OTHER_BYTE = mix(_BYTE + U64(_GOLDEN))
+#: Base of the polynomial hash of chunks and of the texts before them, and its inverse modulo 2**64.
 _BASE = U64(0xA24BAED4963EE407)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_LOW = U64((1 << 32) - 1)
 
 
 def gear_cuts(data: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def _raised(base: np.uint64, to: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks with the words and the hash of the text before their start and before their end."""
+    """Chunks with the words before their start and their end, and half of the hash of the text before their start."""
     for part in parts(batches):
         data, at = text_bytes(part.column("text"))
         if not len(data):
@@ -89,14 +89,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = ~_SPACE[data]
         first[1:] &= _SPACE[data][:-1]
         words = np.concatenate([[0], np.cumsum(first)])
-        # The digest: a polynomial hash of the chunk's bytes from its start on.
-        inner = np.arange(len(data)) - np.repeat(start, ends - start)
-        power = _powers(_MULT, int((ends - start).max()))
-        digest = mix(np.add.reduceat(_BYTE[data] * power[inner], start) + (ends - start).astype(U64) * U64(_GOLDEN))
-        # The other hash, of everything before a place of its text.
-        sums = np.concatenate([[U64(0)], np.cumsum(_OTHER_BYTE[data] * _powers(_BASE, len(data)), dtype=U64)])
-        back = _raised(_INVERSE, at[:-1])[row]
-        before, upto = ((sums[x] - sums[at[row]]) * back for x in (start, ends))
+        # A polynomial hash of everything before a place; a chunk's own, as if it stood at the start, is its digest.
+        sums = np.concatenate([[U64(0)], np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), dtype=U64)])
+        digest = (sums[ends] - sums[start]) * _raised(_INVERSE, start)
+        before = (sums[start] - sums[at[row]]) * _raised(_INVERSE, at[:-1])[row]
         yield pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id").cast(pa.int64()).take(pa.array(row)),
@@ -104,27 +100,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(ends - at[row], pa.int32()),
                 pa.array(words[start] - words[at[row]], pa.int32()),
                 pa.array(words[ends] - words[at[row]], pa.int32()),
-                *[pa.array(x.view(np.int64)) for x in (digest, before, upto)],
+                pa.array(digest.view(np.int64)),
+                pa.array((before & _LOW).astype(np.uint32).view(np.int32)),
             ],
-            ["doc_id", "start", "end", "word", "end_word", "digest", "before", "upto"],
+            ["doc_id", "start", "end", "word", "end_word", "digest", "before"],
         )
 
 
 def _passages(least_words: int):
     """Passages from anchors that come together by doc_id, in the order of first place, distance and start."""
-    names = ("doc_id", "start", "end", "word", "end_word", "before", "upto", "first_doc", "first_start", "first_before", "first_upto")
+    names = ("doc_id", "start", "end", "word", "end_word", "digest", "before", "first_doc", "first_start", "first_before")
 
     def found(table: pa.Table) -> pa.RecordBatch:
-        doc, start, end, word, end_word, before, upto, first, first_start, first_before, first_upto = (
-            table.column(c).to_numpy() for c in names
-        )
-        start, end = start.astype(np.int64), end.astype(np.int64)
+        doc, start, end, word, end_word, digest, before, first, first_start, first_before = (table.column(c).to_numpy() for c in names)
+        start, end, first_start = (x.astype(np.int64) for x in (start, end, first_start))
+        before, first_before, digest = (x.astype(np.int64).view(U64) for x in (before, first_before, digest))
         far = start - first_start
         same = (doc[1:] == doc[:-1]) & (first[1:] == first[:-1]) & (far[1:] == far[:-1])
         # The text between two anchors, here and at the first place.
-        here = (before[1:] - upto[:-1]).view(U64) * _raised(_INVERSE, end[:-1])
-        there = (first_before[1:] - first_upto[:-1]).view(U64) * _raised(_INVERSE, np.maximum(end[:-1] - far[:-1], 0))
-        new = np.flatnonzero(np.concatenate([[True], ~same | (here != there)]))
+        upto = before + digest * _raised(_BASE, start)
+        first_upto = first_before + digest * _raised(_BASE, first_start)
+        here = (before[1:] - upto[:-1]) * _raised(_INVERSE, end[:-1])
+        there = (first_before[1:] - first_upto[:-1]) * _raised(_INVERSE, (end - far)[:-1])
+        new = np.flatnonzero(np.concatenate([[True], ~same | ((here ^ there) & _LOW != 0)]))
         last = np.concatenate([new[1:], [len(doc)]]) - 1
         many = end_word[last] - word[new]
         keep = many >= least_words
@@ -169,23 +167,23 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> D
     chunks = settle(
         documents.where("doc_id is not null")
         .select("doc_id", "text")
-        .mapInArrow(_chunks, "doc_id long, start int, end int, word int, end_word int, digest long, before long, upto long")
+        .mapInArrow(_chunks, "doc_id long, start int, end int, word int, end_word int, digest long, before int")
     )
-    place = F.struct("doc_id", "start", "before", "upto")
-    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    later = (F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("first.start") != F.col("last.start"))
-    first = settle(
-        first.where(later).select(
-            "digest",
-            F.col("first.doc_id").alias("first_doc"),
-            F.col("first.start").alias("first_start"),
-            F.col("first.before").alias("first_before"),
-            F.col("first.upto").alias("first_upto"),
-        )
+    # Only the chunks whose digest occurs again are looked at further, some third.
+    again = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    again = settle(again.select("digest", "first_doc"))
+    some = settle(chunks.join(again, "digest"))
+    release(chunks, again)
+    # The first place in the first document; its start is the upper half of a number whose lower half is the hash before it.
+    place = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("before").cast("long") + F.lit(1 << 31))
+    first = some.where("doc_id = first_doc").groupBy("digest").agg(F.min(place).alias("place"))
+    first = first.select(
+        "digest",
+        F.shiftright("place", 32).cast("int").alias("first_start"),
+        (F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int").alias("first_before"),
     )
-    anchors = chunks.join(first, "digest").where("doc_id != first_doc or start != first_start").drop("digest").distinct()
-    anchors = settle(anchors)
-    release(chunks, first)
+    anchors = settle(some.join(first, "digest").where("doc_id != first_doc or start != first_start").distinct())
+    release(some)
     ordered = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc", F.col("start") - F.col("first_start"), "start", "end")
     return ordered.mapInArrow(_passages(least_words), "doc_id long, start_byte long, end_byte long, n_words long, first_doc_id long")
 

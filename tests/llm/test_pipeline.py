@@ -146,3 +146,17 @@ def test_operators_on_empty_tables(spark, docs, folder):
     assert toxicity(none, labels).count() == 0
     public = pytest.importorskip("public_tokenizers")
     assert token_counts(none, public.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_stages_with_clashing_columns(spark, folder, texts):
+    names = ("_dense", "dense", "_spans", "spans", "row", "doc", "found", "gone", "times", "bin", "own", "whole", "here")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit("?") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, folder)
+        assert set(rows.columns) <= set(out.columns), name
+        assert {r.dense for r in out.select("dense").distinct().collect()} == {"?"}
+
+
+def test_contaminated_rows_without_an_id_go(spark, texts, folder):
+    rows = spark.createDataFrame([(None, texts[20], "en", "a", 1, "?", "?", "?"), (1, "clean words only", "en", "a", 1, "?", "?", "?")], COLUMNS)
+    assert ids(STAGE["decontamination"](spark, rows, folder)) == [1]
