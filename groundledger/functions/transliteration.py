@@ -19,12 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Latin letters of vowels, vowel signs and consonants, without and with a dot below.
-VOWELS = dict(zip("अआइईउऊऋएऐओऔ", "a a i ī u u ri e ai o au".split(), strict=True))
-SIGNS = dict(zip("ािीुूृेैोौ", "a i ī u u ri e ai o au".split(), strict=True))
-CONSONANTS = dict(
-    zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l".split(), strict=True)
-)
-DOTTED = dict(zip("डढजफकग", "r rh z f q gh".split(), strict=True))
+VOWELS = {
+    "अ": "a", "आ": "a", "इ": "i", "ई": "ī", "उ": "u", "ऊ": "u", "ऋ": "ri", "ए": "e", "ऐ": "ai", "ओ": "o",
+    "औ": "au",
+}
+SIGNS = {
+    "ा": "a", "ि": "i", "ी": "ī", "ु": "u", "ू": "u", "ृ": "ri", "े": "e", "ै": "ai", "ो": "o", "ौ": "au",
+}
+CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "n", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "n",
+    "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n",
+    "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "श": "sh",
+    "ष": "sh", "स": "s", "ह": "h", "ळ": "l",
+}
+DOTTED = {
+    "ड": "r", "ढ": "rh", "ज": "z", "फ": "f", "क": "q", "ग": "gh",
+}
 HALANT, DOT, ANUSVARA, CHANDRABINDU, VISARGA = "्", "़", "ं", "ँ", "ः"
 LABIALS = frozenset("p ph b bh m".split())
 WHOLE_WORDS = {"सिंह": "Singh", "ज्ञान": "Gyan"}

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import release, settle
+
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, depth) of nodes(id, parent_id), each node its own ancestor at depth 0.
@@ -15,14 +17,14 @@ def closure(nodes: DataFrame) -> DataFrame:
     nothing is new; a tree of any depth takes its logarithm. On a cycle each
     ancestor counts once, at its least depth.
     """
-    reach = nodes.where("parent_id is not null and parent_id != id").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")).persist()
+    reach = settle(nodes.where("parent_id is not null and parent_id != id").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")))
     step, known = 1, reach.count()
     while True:
         far = reach.where(F.col("depth") == step).select("id", F.col("ancestor").alias("middle"))
         more = far.join(reach.select(F.col("id").alias("middle"), "ancestor", (F.col("depth") + step).alias("depth")), "middle").where("id != ancestor")
-        new = reach.unionByName(more.select("id", "ancestor", "depth")).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).persist()
+        new = settle(reach.unionByName(more.select("id", "ancestor", "depth")).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
         step, before, known = 2 * step, known, new.count()
-        reach.unpersist()
+        release(reach)
         reach = new
         if known == before:
             break
