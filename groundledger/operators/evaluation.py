@@ -72,6 +72,29 @@ def skyline(rows: DataFrame, high: str, low: str, ranges: int = 64) -> DataFrame
     return rows.join(kept.select(low, F.col("_high").alias(high)), [low, high])
 
 
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """(key, share, value): percentiles with linear interpolation, for keys of any size.
+
+    Equal values are counted first. Equal-width bins tell in which of them a rank
+    lies, and only the values of those bins are put in order, each bin on its own.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = counts.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    place = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    binned = counts.join(ends, key).withColumn("bin", F.least(F.floor(place * bins), F.lit(bins - 1)).cast("int"))
+    upto = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = binned.groupBy(key, "bin").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(upto), F.lit(0)))
+    at = ends.select(key, "total", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("at", (F.col("total") - 1) * F.col("share"))
+    ranks = at.select(key, "share", "at", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    ranks = ranks.join(sums, key).where("rank >= before and rank < before + m").select(key, "share", "at", "rank", "bin", "before")
+    inside = binned.join(ranks.select(key, "bin", "before").distinct(), [key, "bin"])
+    own = Window.partitionBy(key, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(own), F.lit(0))).select(key, "bin", "v", "first", "n")
+    found = ranks.drop("before").join(inside, [key, "bin"]).where("rank >= first and rank < first + n")
+    low, high = F.min_by("v", "rank"), F.max_by("v", "rank")
+    return found.groupBy(key, "share").agg((low + (high - low) * (F.first("at") - F.floor(F.first("at")))).alias("value"))
+
+
 def nearest_rank(rows: DataFrame, value: str, share: float) -> DataFrame:
     """The value at place floor(share * (n - 1)) of the sorted values."""
     return rows.agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias(value))
