@@ -24,6 +24,7 @@ entry a lot; a long text is a lot of its own; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +41,8 @@ FOLDS, HELD_OUT = 5, 1
 END = U64(0x0F0E0D0C0B0A0908)
 #: Tokens of a lot, and tokens for each bucket; both bound the arrays of a task.
 LOT_TOKENS, BUCKET_TOKENS = 1 << 18, 1 << 20
+#: Parts of the lots that are walked one after the other.
+PARTS = 4
 #: Buckets of triples are numbered from here on.
 DEEP = 1 << 30
 
@@ -326,13 +329,13 @@ def lm_scores(documents: DataFrame) -> DataFrame:
             names,
         )
 
-    # Half of the lots at a time, so that half of them are in a shuffle.
-    halves = []
-    for half in (0, 1):
-        own, theirs = (x.where(F.pmod(F.xxhash64("lot"), F.lit(2)) == half).groupBy("lot") for x in (lots, answers))
-        halves.append(settle(own.cogroup(theirs).applyInArrow(walk, first)))
+    # A part of the lots at a time, so that only that part is in a shuffle.
+    done = []
+    for part in range(PARTS):
+        own, theirs = (x.where(F.pmod(F.xxhash64("lot"), F.lit(PARTS)) == part).groupBy("lot") for x in (lots, answers))
+        done.append(settle(own.cogroup(theirs).applyInArrow(walk, first)))
     release(lots, shallow, deep)
-    walked = halves[0].unionAll(halves[1])
+    walked = reduce(DataFrame.unionAll, done)
     weights = (
         walked.where("bucket >= 0")
         .select("lot", "bucket", "keys", "arcs", "lower")
