@@ -39,7 +39,7 @@ _FINDINGS = f"""{_FACTS}, found as (
     union all select deed_id, 'MALFORMED_SHARE', 'warning', 'SHARE' from facts where bad > 0
     union all select deed_id, 'SHARES_DO_NOT_TOTAL_ONE', 'warning', 'SHARE' from facts where bad = 0 and not one
     union all select deed_id, 'DECLARED_KHASRA_MISMATCH', 'warning', 'KHASRA' from facts where declared_khasra <> KHASRA
-    union all select deed_id, 'AREA_CHANGE_THRESHOLD', 'warning', 'AREA' from facts where previous_area > 0 and greatest(n, previous_area) / least(n, previous_area) >= 3 and n is not null and MUTATION is null)"""
+    union all select deed_id, 'AREA_CHANGE_THRESHOLD', 'warning', 'AREA' from facts where previous_area > 0 and n > 0 and greatest(n, previous_area) / least(n, previous_area) >= 3 and n is not null and MUTATION is null)"""
 
 
 def _findings(spark, d):

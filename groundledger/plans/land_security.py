@@ -160,13 +160,13 @@ def j05_grievances_with_users(spark, d):
     return rows.join(users, "raised_by").select("grievance_id", "khasra", "c_name")
 
 
-@query("select p_partkey, p_name from part where p_name = (select min(p_name) from part)")
+@query("select c_custkey, c_name from customer where c_name = (select min(c_name) from customer)")
 def s03_unique_lookup(spark, d):
     """By a secondary key that may find one row at most; more raise an error in the task that meets them."""
-    name = land(spark, d, "part").agg(F.min("p_name").alias("p_name"))
-    rows = land(spark, d, "part").join(F.broadcast(name), "p_name").select("p_partkey", "p_name")  # one row
-    many = rows.groupBy("p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("p_partkey"))
-    return many.select(F.when(F.col("n") > 1, F.raise_error(F.lit("several rows of one key"))).otherwise(F.col("p_partkey")).alias("p_partkey"), "p_name")
+    name = land(spark, d, "customer").agg(F.min("c_name").alias("c_name"))
+    rows = land(spark, d, "customer").join(F.broadcast(name), "c_name").select("c_custkey", "c_name")  # one row
+    many = rows.groupBy("c_name").agg(F.count("*").alias("n"), F.min("c_custkey").alias("c_custkey"))
+    return many.select(F.when(F.col("n") > 1, F.raise_error(F.lit("several rows of one key"))).otherwise(F.col("c_custkey")).alias("c_custkey"), "c_name")
 
 
 @query(f"with {land_sql('flags')} select flag_id, score from flags order by score desc nulls last, flag_id limit 25")
