@@ -177,13 +177,16 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST_WORDS) -> D
     # The first place in the first document; its start is the upper half of a number whose lower half is the hash before it.
     place = F.shiftleft(F.col("start").cast("long"), 32) + (F.col("before").cast("long") + F.lit(1 << 31))
     first = some.where("doc_id = first_doc").groupBy("digest").agg(F.min(place).alias("place"))
-    first = first.select(
-        "digest",
-        F.shiftright("place", 32).cast("int").alias("first_start"),
-        (F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int").alias("first_before"),
+    # Settled, so that the join has a shuffle on either side and a frequent digest can be split.
+    first = settle(
+        first.select(
+            "digest",
+            F.shiftright("place", 32).cast("int").alias("first_start"),
+            (F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int").alias("first_before"),
+        )
     )
     anchors = settle(some.join(first, "digest").where("doc_id != first_doc or start != first_start").distinct())
-    release(some)
+    release(some, first)
     ordered = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "first_doc", F.col("start") - F.col("first_start"), "start", "end")
     return ordered.mapInArrow(_passages(least_words), "doc_id long, start_byte long, end_byte long, n_words long, first_doc_id long")
 
