@@ -18,11 +18,16 @@ def duck():
     return con
 
 
+def plain(v):
+    v = v.tolist() if isinstance(v, np.ndarray) else v
+    return [round(x, 6) if isinstance(x, float) else x for x in v] if isinstance(v, list) else v
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)].copy()
     for c in frame.columns:
         if frame[c].dtype == object:
-            frame[c] = frame[c].map(lambda v: list(v) if isinstance(v, list | np.ndarray) else v)
+            frame[c] = frame[c].map(plain)
         elif str(frame[c].dtype).startswith("datetime"):
             frame[c] = frame[c].dt.date
         elif frame[c].dtype.kind in "fi" or str(frame[c].dtype) == "Int64":
