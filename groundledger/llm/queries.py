@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import END, START, format_chats, read_back
 from .decontamination import contaminated
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
@@ -64,10 +65,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role, text = F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(f"{END}{START}assistant ok")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_chats(given.unionByName(added)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_decontamination,
         op6_token_counts, op7_near_dedup, op8_mixing, op9_lm_scoring, op10_toxicity,
+        op11_chat_format,
     )
 }
