@@ -64,4 +64,50 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-ORACLE_SQL = {"op4_secret_scan": SECRETS, "op11_chat_format": CHATS}
+_FIELDS = ("doc_id", "source", "lang", "{n}", "text")
+_ENCODED = " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in _FIELDS)
+
+
+def _up(nodes: str, key: str) -> str:
+    """The nodes of all levels of the trees that stand on nodes(key, level 0, pos, h, total)."""
+    return f"""
+    select {key}, 0 as level, pos, h, total from {nodes}
+    union all
+    select {key}, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(total) + 1) // 2
+    from {nodes}_up where total > 1 group by {key}, level, pos // 2"""
+
+
+def _fold(name: str, nodes: str, key: str, start: str) -> str:
+    """Siblings and digests of each row's way up the tree of its key."""
+    return f"""
+    {start}
+    union all
+    select f.rid, f.{key}, f.level + 1, f.pos // 2, (f.total + 1) // 2, proof || coalesce(n.h, ''),
+           sha256(case when n.h is null then f.h when f.pos % 2 = 1 then n.h || f.h else f.h || n.h end)
+    from {name} f left join {nodes}_up n on n.{key} is not distinct from f.{key} and n.level = f.level and n.pos = xor(f.pos, 1)
+    where f.total > 1"""
+
+
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: case when xor(a, b) % 2 = 1 then xor(xor(a, b) >> 1, 3988292384) else xor(a, b) >> 1 end))"""
+
+MERKLE = f"""
+with recursive docs as (
+    select row_number() over () as rid, *, case when doc_id is not null and ({_CRC}) % 7 = 0 then n_chars + 1 else n_chars end as more from documents),
+hashed as (
+    select rid, doc_id, lang, sha256({_ENCODED.format(n="n_chars")}) as h, sha256({_ENCODED.format(n="more")}) as told from docs),
+leaves as (
+    select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by lang) as total from hashed),
+leaves_up as ({_up("leaves", "lang")}),
+subroots as (
+    select lang, h, 0 as one, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as total from leaves_up where total = 1),
+subroots_up as ({_up("subroots", "one")}),
+inner_way as ({_fold("inner_way", "leaves", "lang", "select rid, lang, 0 as level, pos, total, '' as proof, told as h from leaves")}),
+outer_way as ({_fold("outer_way", "subroots", "one", "select w.rid, 0 as one, 0 as level, s.pos, s.total, w.proof, w.h from inner_way w join subroots s on s.lang is not distinct from w.lang where w.total = 1")})
+select l.doc_id, l.h as leaf, s.h as subroot, r.h as root, sha256(w.proof) as proof_sha256, w.h as folded_root, w.h = r.h as verified
+from leaves l join subroots s on s.lang is not distinct from l.lang join outer_way w on w.rid = l.rid and w.total = 1
+join subroots_up r on r.total = 1
+"""
+
+ORACLE_SQL = {"op4_secret_scan": SECRETS, "op11_chat_format": CHATS, "op12_merkle_manifest": MERKLE}

@@ -11,6 +11,7 @@ from .chat_format import END, START, format_chats, read_back
 from .decontamination import contaminated
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
+from .merkle import encoded, folded, hexed, merkle_manifest, proof_digest
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
@@ -72,11 +73,32 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(given.unionByName(added)))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = F.sha2(encoded(*hashed), 256)
+    # Tampered rows: one more character than there is.
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    rows = table(spark, sf_dir, "documents").select(*hashed, changed.alias("more"))
+    tampered = F.when(F.col("more") != F.col("n_chars"), F.sha2(encoded("doc_id", "source", "lang", "more", "text"), 256))
+    rows = rows.select("doc_id", "lang", leaf.alias("leaf"), F.unhex(tampered).alias("tampered"))
+    made = merkle_manifest(rows, F.col("lang"), F.col("doc_id"), F.col("leaf"))
+    start = hexed(F.coalesce("row.tampered", "leaf"))
+    made = made.select(
+        "row.doc_id",
+        hexed(F.col("leaf")).alias("leaf"),
+        hexed(F.col("subroot")).alias("subroot"),
+        hexed(F.col("root")).alias("root"),
+        proof_digest(F.col("witness")).alias("proof_sha256"),
+        folded(start, F.col("witness")).alias("folded_root"),
+    )
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_decontamination,
         op6_token_counts, op7_near_dedup, op8_mixing, op9_lm_scoring, op10_toxicity,
-        op11_chat_format,
+        op11_chat_format, op12_merkle_manifest,
     )
 }
