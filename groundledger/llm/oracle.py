@@ -88,13 +88,19 @@ def _fold(name: str, nodes: str, key: str, start: str) -> str:
     where f.total > 1"""
 
 
-_CRC = """xor(4294967295, list_reduce(
-    list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
-    lambda a, b: case when xor(a, b) % 2 = 1 then xor(xor(a, b) >> 1, 3988292384) else xor(a, b) >> 1 end))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text of letters below U+0800, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({text}, ''), lambda c:
+        case when unicode(c) < 128 then [unicode(c)::bigint, 0, 0, 0, 0, 0, 0, 0]
+        else [192::bigint + unicode(c) // 64, 0, 0, 0, 0, 0, 0, 0, 128 + unicode(c) % 64, 0, 0, 0, 0, 0, 0, 0] end))),
+        lambda a, b: case when xor(a, b) % 2 = 1 then xor(xor(a, b) >> 1, 3988292384) else xor(a, b) >> 1 end))"""
+
 
 MERKLE = f"""
 with recursive docs as (
-    select row_number() over () as rid, *, case when doc_id is not null and ({_CRC}) % 7 = 0 then n_chars + 1 else n_chars end as more from documents),
+    select row_number() over () as rid, *, case when doc_id is not null and ({_crc("cast(doc_id as varchar)")}) % 7 = 0 then n_chars + 1 else n_chars end as more from documents),
 hashed as (
     select rid, doc_id, lang, sha256({_ENCODED.format(n="n_chars")}) as h, sha256({_ENCODED.format(n="more")}) as told from docs),
 leaves as (
@@ -110,4 +116,31 @@ from leaves l join subroots s on s.lang is not distinct from l.lang join outer_w
 join subroots_up r on r.total = 1
 """
 
-ORACLE_SQL = {"op4_secret_scan": SECRETS, "op11_chat_format": CHATS, "op12_merkle_manifest": MERKLE}
+SPELLING = f"""
+with recursive runs as (
+    select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents),
+lowered as (
+    select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n from runs group by all),
+hashed as (select *, {_crc("cast(doc_id as varchar) || ':' || w")} as h from lowered),
+words as (
+    select case when h % 199 = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end as word, cast(sum(n) as bigint) as n
+    from hashed group by 1 having sum(n) >= 5 and length(word) >= 6),
+less as (
+    select word, n, k, word[:k - 1] || word[k + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as k from words)),
+near as (
+    select a.word, b.word as other, b.n from less a join less b on a.rest = b.rest and a.k = b.k and a.word != b.word
+    union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (
+    select word, count(*) as n_near, max(n) as best_n, first(other order by n desc, other) as best from near group by word),
+told as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 5 * w.n then best end as form, case when best_n >= 5 * w.n then best_n end as form_n
+    from words w left join best using (word)),
+way as (
+    select word, coalesce(form, word) as root, 0 as step from told
+    union all
+    select w.word, t.form, step + 1 from way w join told t on t.word = w.root where t.form is not null and t.form != w.root)
+select t.word, t.form, (select arg_max(root, step) from way where way.word = t.word) as root, t.n, t.n_near, t.form_n from told t
+"""
+
+ORACLE_SQL = {"op4_secret_scan": SECRETS, "op11_chat_format": CHATS, "op12_merkle_manifest": MERKLE, "op13_spelling_variants": SPELLING}

@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .secret_scan import secret_report, secret_scan
+from .spelling_variants import spelling_variants
 from .storage import table
 from .substring_dedup import repeated_passages
 from .token_counts import token_counts
@@ -94,11 +95,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_quality_rules, op3_license_scan, op4_secret_scan, op5_decontamination,
         op6_token_counts, op7_near_dedup, op8_mixing, op9_lm_scoring, op10_toxicity,
-        op11_chat_format, op12_merkle_manifest,
+        op11_chat_format, op12_merkle_manifest, op13_spelling_variants,
     )
 }
