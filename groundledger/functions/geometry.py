@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .values import planar_area
 
@@ -41,45 +39,10 @@ def from_local(x: Column, y: Column, lon: float, lat: float) -> Column:
     )
 
 
-def bounds(ring: Column) -> Column:
-    """Struct of x1, y1, x2, y2."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
-
-
 def boxes_meet(a: Column, b: Column) -> Column:
     return (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"])
 
 
-@F.pandas_udf(DoubleType())
-def convex_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area that two convex polygons share: one is clipped along the other's edges; for the pairs whose boxes meet."""
-
-    def signed(ring: list) -> float:
-        return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
-
-    def shared(one: list, two: list) -> float:
-        left, clip = ([(p["x"], p["y"]) for p in ring] for ring in (one, two))
-        if signed(clip) < 0:
-            clip.reverse()
-        for p, q in zip(clip, clip[1:] + clip[:1], strict=True):
-            side = [(q[0] - p[0]) * (v[1] - p[1]) - (q[1] - p[1]) * (v[0] - p[0]) for v in left]
-            out = []
-            for k, v in enumerate(left):
-                n = (k + 1) % len(left)
-                if side[k] >= 0:
-                    out.append(v)
-                if side[k] * side[n] < 0:
-                    t = side[k] / (side[k] - side[n])
-                    out.append((v[0] + t * (left[n][0] - v[0]), v[1] + t * (left[n][1] - v[1])))
-            left = out
-            if len(left) < 3:
-                return 0.0
-        return abs(signed(left))
-
-    return pd.Series([shared(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def overlap_share(a: Column, b: Column) -> tuple[Column, Column, Column]:
     """Of two box structs: how much of b lies in a, of a in b, and their common part over the whole."""
     w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]), F.lit(0.0))

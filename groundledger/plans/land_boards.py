@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, boxes_meet, convex_overlap, geodesic_area, rectangle
 from ..functions.values import UNIT_SQM, hamming, nfc, square_metres
 from ..operators.evaluation import confusion, grouped_calibration, skyline, with_scores
 from ..operators.hierarchy import closure, descendants, rolled_up
@@ -237,44 +236,6 @@ def w11_collapsed_labels(spark, d):
     return out.select("user_id", F.array_join(F.transform("x", lambda x: F.substring(F.lit("abc"), x["k"].cast("int"), F.lit(1))), "").alias("text"), "confidence")
 
 
-_RINGS = "rings as (select p_partkey as id, p_partkey % 25 as village, p_partkey % 7 as x, p_size % 5 as y, 0.5 + (p_size % 3) * 0.5 as w, 1.0 + (p_partkey % 2) * 0.25 as h from part)"
-
-
-def _rings(spark, d):
-    c = F.col
-    ring = rectangle(c("p_partkey") % 7, c("p_size") % 5, 0.5 + (c("p_size") % 3) * 0.5, 1.0 + (c("p_partkey") % 2) * 0.25)
-    return land(spark, d, "part").select(c("p_partkey").alias("id"), (c("p_partkey") % 25).alias("village"), ring.alias("ring"))
-
-
-@query(f"""with {_RINGS} select a.id as one, b.id as two, round((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)), 9) as shared from rings a join rings b on a.village = b.village and a.id < b.id
-where least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) and least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)""")
-def j13_overlapping_parcels(spark, d):
-    """Pairs of a village whose polygons share ground: cells of the boxes meet first, then boxes, then the polygons are clipped."""
-    rows = _rings(spark, d).withColumn("box", bounds(F.col("ring")))
-    cells = lambda a, b: F.sequence(F.floor(F.col(a)).cast("int"), F.floor(F.col(b)).cast("int"))
-    rows = rows.withColumn("cx", F.explode(cells("box.x1", "box.x2"))).withColumn("cy", F.explode(cells("box.y1", "box.y2")))
-    right = rows.select("village", "cx", "cy", F.col("id").alias("two"), F.col("ring").alias("ring2"), F.col("box").alias("box2"))
-    pairs = rows.withColumnRenamed("id", "one").join(right, ["village", "cx", "cy"]).where((F.col("one") < F.col("two")) & boxes_meet(F.col("box"), F.col("box2")))
-    # Pairs that meet in several cells count in the first of them.
-    first = (F.col("cx") == F.greatest(F.floor("box.x1"), F.floor("box2.x1"))) & (F.col("cy") == F.greatest(F.floor("box.y1"), F.floor("box2.y1")))
-    pairs = pairs.where(first).select("one", "two", convex_overlap("ring", "ring2").alias("shared"))
-    return pairs.where("shared > 0").select("one", "two", F.round("shared", 9).alias("shared"))
-
-
-@query(f"with {_RINGS} select id from rings where x < 3.2 and x + w > 1.1 and y < 2.4 and y + h > 0.3")
-def j15_parcels_in_view(spark, d):
-    """A box on the chart: boxes first, then the polygons' common part."""
-    view = rectangle(F.lit(1.1), F.lit(0.3), F.lit(2.1), F.lit(2.1))
-    rows = _rings(spark, d).where(boxes_meet(bounds(F.col("ring")), bounds(view)))
-    return rows.where(convex_overlap("ring", view) > 0).select("id")
-
-
-@query(f"with {_RINGS} select village, count(*) as n, round(sum(6371008.8 * 6371008.8 * radians(w) * (sin(radians(y + h)) - sin(radians(y)))), 0) as area from rings group by 1")
-def a39_parcel_areas(spark, d):
-    """Count and sum of geodesic areas by village."""
-    return _rings(spark, d).groupBy("village").agg(F.count("*").alias("n"), F.round(F.sum(geodesic_area(F.col("ring"))), 0).alias("area"))
-
-
 _HASH = "lpad(printf('%x', (p_partkey * 2654435761 + p_size * 40503) % 1099511627776), 16, '0')"
 
 
@@ -463,24 +424,6 @@ def x14_world_invariants(spark, d):
     return out
 
 
-@query(f"""with {_RINGS}, p as (select p_partkey as id, p_size as recorded, p_size % 11 = 0 as none from part)
-select id, 'no geometry' as problem from p where none union all select id, 'implausible' from p where recorded > 45
-union all select id, 'outside village' from rings join p using (id) where not none and (x + w > 7 or y + h > 5.5)
-union all select id, 'area differs' from rings join p using (id) where not none and abs(w * h * 20 - recorded) > greatest(0.05, recorded * 0.02)""")
-def x15_cadastre_invariants(spark, d):
-    """Checks of plots against their polygons and their village's; overlaps are j13."""
-    from ..functions.values import planar_area
-
-    c = F.col
-    size = land(spark, d, "part").select(c("p_partkey").alias("id"), c("p_size").alias("recorded"))
-    none = c("recorded") % 11 == 0
-    rows = _rings(spark, d).join(size, "id").withColumn("box", bounds(c("ring")))
-    outside = (c("box.x2") > 7) | (c("box.y2") > 5.5)
-    differs = F.abs(planar_area(c("ring")) * 20 - c("recorded")) > F.greatest(F.lit(0.05), c("recorded") * 0.02)
-    faults = F.array(F.when(none, "no geometry"), F.when(c("recorded") > 45, "implausible"), F.when(~none & outside, "outside village"), F.when(~none & differs, "area differs"))
-    return rows.select("id", F.explode(F.array_compact(faults)).alias("problem"))
-
-
 @query()
 def x11_group_split(spark, d):
     """Whole groups of documents to train, val and test, balanced by size and tier; groups are customers, tiers priorities."""

@@ -23,6 +23,15 @@ VIEWS = {
         case when p_size % 9 = 0 then null else cast(p_size as string) end as khata, cast(p_size as double) / 4 as area_value,
         case p_partkey % 8 when 0 then 'ACRE' when 1 then 'HECTARE' when 2 then 'BISWA' when 3 then 'SQUARE_METRE'
             when 4 then 'GUNTHA' when 5 then 'CENT' when 6 then 'KANAL' else 'BIGHA' end as area_unit from {part}""",
+    # Plots of a shape (kind) at a place and scale: village 0 holds a third of them, three of four stand in its town, four times as dense.
+    "plots": """select id, village, kind, s, recorded * s * s * case kind when 0 then 132 when 1 then 95 when 2 then 48 when 3 then 108 when 4 then 72 else 66 end as recorded,
+        cast(case when k % 4 < 3 then ((k - k % 4) / 4 * 3 + k % 4) % 64 * 2.5 else 200 + (k - k % 4) / 4 % 32 * 10 end as double) as x,
+        cast(case when k % 4 < 3 then floor(((k - k % 4) / 4 * 3 + k % 4) / 64) * 2.5 else floor((k - k % 4) / 4 / 32) * 10 end as double) as y
+        from (select *, cast(case when k % 4 < 3 then 0.25 else 1.0 end as double) as s
+            from (select p_partkey as id, case when p_partkey % 3 = 0 then 0 else 1 + p_partkey % 24 end as village,
+                case when p_partkey % 3 = 0 then (p_partkey - p_partkey % 3) / 3 else (p_partkey - p_partkey % 24) / 24 end as k,
+                case when p_partkey % 37 > 0 then (p_partkey + p_size) % 6 end as kind,
+                cast(case when p_size % 10 = 0 then 1.05 when p_size % 10 = 1 then 2.5 else 1.0 end as double) as recorded from {part}) t) u""",
     # Documents: some without a village, some without a parcel.
     "deeds": """select o_orderkey as deed_id, case when o_orderkey % 7 = 0 then null else 'N' || c_nationkey end as village_id,
         case when o_orderkey % 5 < 2 then null else 'P' || (o_orderkey % 500 + 1) end as parcel_id,
