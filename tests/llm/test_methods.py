@@ -214,8 +214,7 @@ def test_passages_of_over_50_words(spark):
         raw = texts[r.doc_id].encode()[r.start_byte : r.end_byte]
         assert raw in texts[r.first_doc_id].encode() and r.first_doc_id < r.doc_id
         assert raw.decode()[1:].split() and r.n_words >= substring_dedup.LEAST_WORDS
-    # What a passage loses at its ends leaves one in a hundred too short, or fewer.
-    assert len({r.doc_id for r in found} & set(planted)) >= 396
+    assert {r.doc_id for r in found} >= set(planted)
     assert {r.doc_id for r in found} <= set(planted)
 
 
