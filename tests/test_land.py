@@ -8,14 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundledger.functions.fields import iso_date, normalised, record_year, script_profile, share_text, short_number, unit_name
-from groundledger.functions.geometry import convex_overlap, geodesic_area, rectangle
-from groundledger.functions.labels import inline_value, label_score, likeness, plausible
+from groundledger.functions.geometry import geodesic_area, rectangle
+from groundledger.functions.labels import likeness
+from groundledger.functions.polygons import shared_area
 from groundledger.functions.registry import register, register_all
 from groundledger.functions.values import box_overlap, content_digest, ngram_vector
 from groundledger.operators.evaluation import chain_problems, chained, nearest_rank
 from groundledger.operators.hierarchy import closure
 from groundledger.operators.intervals import whole_at_pivots
-from groundledger.operators.page_fields import page_values, read_blocks, scalar_values, table_values
+from groundledger.operators.label_index import read_blocks, read_texts
+from groundledger.operators.page_fields import page_values, scalar_values, table_values
 from groundledger.operators.rules import without_signal
 from groundledger.operators.scopes import within
 from groundledger.operators.splits import split_groups
@@ -49,8 +51,8 @@ def one(spark, column):
         (lambda: shares_whole(F.array(F.lit("1/3"), F.lit("2/3"))), True),
         (lambda: shares_whole(F.array(F.lit("1/3"), F.lit("1/2"))), False),
         (lambda: shares_whole(F.array(F.lit("1/3"), F.lit("1/0"))), None),
-        (lambda: convex_overlap(rectangle(*map(F.lit, (0, 0, 2, 2))), rectangle(*map(F.lit, (1, 1, 2, 2)))), 1.0),
-        (lambda: convex_overlap(rectangle(*map(F.lit, (0, 0, 1, 1))), rectangle(*map(F.lit, (2, 2, 1, 1)))), 0.0),
+        (lambda: shared_area(F.array(rectangle(*map(F.lit, (0, 0, 2, 2)))), F.array(rectangle(*map(F.lit, (1, 1, 2, 2))))), 1.0),
+        (lambda: shared_area(F.array(rectangle(*map(F.lit, (0, 0, 1, 1)))), F.array(rectangle(*map(F.lit, (2, 2, 1, 1))))), 0.0),
         (lambda: content_digest({"b": F.lit(1), "a": F.lit(None).cast("string")})[0], '{"a":null,"b":1}'),
     ],
 )
@@ -101,13 +103,15 @@ def test_shares_of_the_worked_timeline(spark):
     assert {str(r.pivot): r.whole for r in whole_at_pivots(rows, "parcel_id", "share").collect()} == {"1998-07-01": True, "2006-04-12": True, "2019-09-03": False}
 
 
-def test_labels():
-    assert label_score("जिला", ("जिला",)) == 1.0 and label_score("खसरासं", ("खसरा",)) == 0.95
-    assert label_score("विला", ("जिला",)) >= 0.66 > label_score("डेमो जिला", ("जिला",))
-    assert label_score("Village", ("ग्राम",)) == 0.0
-    assert inline_value("ग्राम : रामपुर", ("ग्राम",)) == "रामपुर" and inline_value("ग्राम :", ("ग्राम",)) is None
-    assert inline_value("पिता / पति", ("पिता / पति",)) is None
-    assert not plausible("से:") and not plausible("-") and plausible("राम")
+def test_labels(spark):
+    texts = ["जिला", "खसरासं", "विला", "डेमो जिला", "ग्राम : रामपुर", "ग्राम :", "पिता / पति", "से:", "-", "राम"]
+    read = {r.text: r["is"] for r in read_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    scores = {t: {x.field: x.score for x in r.labels} for t, r in read.items()}
+    assert scores["जिला"]["DISTRICT"] == 1.0 and scores["खसरासं"]["KHASRA"] in (0.95, 1.0)
+    assert scores["विला"]["DISTRICT"] >= 0.66 and not scores["डेमो जिला"]
+    inline = {t: {x.field: x.inline for x in r.labels} for t, r in read.items()}
+    assert inline["ग्राम : रामपुर"]["VILLAGE"] == "रामपुर" and inline["ग्राम :"]["VILLAGE"] is None and inline["पिता / पति"]["GUARDIAN"] is None
+    assert not read["से:"].plausible and not read["-"].plausible and read["राम"].plausible
     assert likeness("abcd", "bcde") == pytest.approx(0.75)
 
 
