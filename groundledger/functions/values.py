@@ -73,28 +73,6 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(a - b), F.greatest(F.abs(a), F.abs(b))), F.when((a == 0) & (b == 0), 0.0))
 
 
-def share_parts(share: Column) -> tuple[Column, Column]:
-    """Numerator and denominator of "a/b"; null if malformed."""
-    num = F.nullif(F.regexp_extract(share, "^\\s*(\\d+)\\s*/\\s*(\\d+)\\s*$", 1), F.lit("")).cast("long")
-    den = F.nullif(F.regexp_extract(share, "^\\s*(\\d+)\\s*/\\s*(\\d+)\\s*$", 2), F.lit("")).cast("long")
-    return F.when(den != 0, num), F.nullif(den, F.lit(0))
-
-
-def gcd(a: Column, b: Column) -> Column:
-    """Of two positive longs, by Euclid's steps; 92 suffice for 63 bits."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(92)),
-        F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")),
-        lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))),
-        lambda s: s["a"],
-    )
-
-
-def lcm_of(values: Column) -> Column:
-    """Least common multiple of an array of positive longs; null where it leaves 63 bits."""
-    return F.aggregate(values, F.lit(1).cast("long"), lambda s, x: F.try_multiply((s / gcd(s, x)).cast("long"), x))
-
-
 def fused_confidence(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of the signals that are present, clamped to [0, 1]; 0 without any."""
     total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts), F.lit(0.0))

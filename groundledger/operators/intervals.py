@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import lcm_of, share_parts
+from ..functions.shares import common_multiple, limbs_are, share_texts, unit_limbs
+from ..sources.shared import settle
 
 
 def as_of(date: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
@@ -65,16 +66,20 @@ def legal_transitions(history: DataFrame, edges: DataFrame, key: str, order: str
 def whole_at_pivots(spans: DataFrame, key: str, share: str) -> DataFrame:
     """(key, pivot, whole): whether the shares held on each day on which a span begins add up to exactly one.
 
-    Shares become whole multiples of the key's common denominator. What begins is
-    added and what has ended is taken away along the days, so no span meets another.
+    Shares become whole multiples of one over the key's common denominator, of any
+    size, as limbs. What begins is added and what has ended is taken away along the
+    days, limb by limb, so no span meets another and a day counts once.
     """
-    num, den = share_parts(F.col(share))
+    num, den = share_texts(F.col(share))
     good = spans.select(key, "valid_from", "valid_to", num.alias("num"), den.alias("den")).where("num is not null and den is not null")
     good = good.where("valid_to is null or valid_to >= valid_from")
-    common = good.groupBy(key).agg(lcm_of(F.collect_set("den")).alias("common"))
-    good = good.join(common, key).withColumn("units", F.col("num") * (F.col("common") / F.col("den")).cast("long"))
-    begins = good.select(key, "common", F.col("valid_from").alias("day"), "units", F.lit(1).alias("pivot"))
-    ends = good.where("valid_to is not null").select(key, "common", F.date_add("valid_to", 1).alias("day"), (-F.col("units")).alias("units"), F.lit(0).alias("pivot"))
-    days = begins.unionByName(ends).groupBy(key, "common", "day").agg(F.sum("units").alias("units"), F.max("pivot").alias("pivot"))
-    held = F.sum("units").over(Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return days.withColumn("held", held).where("pivot = 1").select(key, F.col("day").alias("pivot"), (F.col("held") == F.col("common")).alias("whole"))
+    common = good.groupBy(key).agg(F.collect_set("den").alias("dens"), F.max(F.length("num")).alias("digits"))
+    common = settle(common.select(F.col(key).alias("of"), common_multiple("dens").alias("common"), "digits"))
+    good = good.join(common, F.col(key) == F.col("of")).withColumn("limbs", unit_limbs("num", "den", "common", "digits"))
+    good = good.select(key, "common", "valid_from", "valid_to", F.posexplode("limbs").alias("limb", "units"))
+    begins = good.select(key, "common", "limb", F.col("valid_from").alias("day"), "units", F.lit(1).alias("pivot"))
+    ends = good.where("valid_to is not null").select(key, "common", "limb", F.date_add("valid_to", 1).alias("day"), (-F.col("units")).alias("units"), F.lit(0).alias("pivot"))
+    days = begins.unionByName(ends).groupBy(key, "common", "limb", "day").agg(F.sum("units").alias("units"), F.max("pivot").alias("pivot"))
+    held = F.sum("units").over(Window.partitionBy(key, "limb").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn("held", held).where("pivot = 1").groupBy(key, "common", "day").agg(F.sort_array(F.collect_list(F.struct("limb", "held"))).alias("held"))
+    return days.select(key, F.col("day").alias("pivot"), limbs_are("held.held", "common").alias("whole"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundledger.functions import values as v
+from groundledger.functions.shares import common_multiple
 from groundledger.operators.intervals import as_of, legal_transitions, sequence_faults
 from groundledger.sources.sinks import replace_partitions
 from groundledger.streaming.events import changes_only
@@ -23,7 +24,7 @@ def one(spark, column):
         (lambda: v.hamming(F.lit("ffffffffffffffff"), F.lit("fffffffffffffff0")), 4),
         (lambda: v.relative_difference(F.lit(0.0), F.lit(0.0)), 0.0),
         (lambda: v.relative_difference(F.lit(2.0), F.lit(1.0)), 0.5),
-        (lambda: v.lcm_of(F.array(F.lit(4), F.lit(6), F.lit(10))), 60),
+        (lambda: common_multiple(F.array(F.lit("4"), F.lit("6"), F.lit("10"))), "60"),
         (lambda: v.fused_confidence([(F.lit(None).cast("double"), 0.5), (F.lit(0.8), 0.5)]), 0.8),
         (lambda: v.fused_confidence([(F.lit(None).cast("double"), 0.5)]), 0.0),
         (lambda: v.square_metres(F.lit(2.0), F.lit("HECTARE")), 20000.0),

@@ -12,6 +12,7 @@ from groundledger.functions.geometry import geodesic_area, rectangle
 from groundledger.functions.labels import likeness
 from groundledger.functions.polygons import shared_area
 from groundledger.functions.registry import register, register_all
+from groundledger.functions.shares import shares_whole
 from groundledger.functions.values import box_overlap, content_digest, ngram_vector
 from groundledger.operators.evaluation import chain_problems, chained, nearest_rank
 from groundledger.operators.hierarchy import closure
@@ -21,7 +22,6 @@ from groundledger.operators.page_fields import page_values, scalar_values, table
 from groundledger.operators.rules import without_signal
 from groundledger.operators.scopes import within
 from groundledger.operators.splits import split_groups
-from groundledger.operators.validation import shares_whole
 from groundledger.sources import sinks, tables
 from groundledger.streaming.events import anchored_quota, caught_up, deliver_once, once, record_events, stalled
 
