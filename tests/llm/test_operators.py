@@ -301,7 +301,7 @@ def test_decontamination_finds_all_items_near_the_limit(size, changed):
     items = [some(size) for _ in range(200)]
     # At the start of a text no shifted window can stand in for the only one that matches.
     texts = [" ".join(w[: size - changed] + some(changed + 30)) for w in items]
-    bench = decontamination.Benchmark(list(range(200)), [" ".join(w) for w in items])
+    bench = decontamination.Benchmark(list(range(200)), [" ".join(w) for w in items], 75)
     rows = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
-    found = {(row, int(bench.ids[x])) for row, x, *_ in decontamination._matches(rows, bench, 75)}
+    found = {(row, int(bench.ids[x])) for row, x, *_ in decontamination._matches(rows, bench, 75, True)}
     assert found == {(k, k) for k in range(200)}
