@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.values import UNIT_SQM, hamming, nfc, square_metres
+from ..functions.values import UNIT_SQM, nfc, square_metres
 from ..operators.evaluation import confusion, grouped_calibration, skyline, with_scores
 from ..operators.hierarchy import closure, descendants, rolled_up
 from ..operators.intervals import islands
+from ..operators.near_hashes import hash_number, near_rows
 from ..operators.scopes import deeds_within
 from ..operators.splits import split_groups
 from ..sources.land import land, land_sql
-from ..sources.sinks import changed_where, insert_absent, numbered_ids, without_stale
+from ..sources.sinks import changed_where, highest_number, insert_absent, numbered_ids, without_stale
 from .catalogue import query
 from .land_security import _SCOPE, ROOT
 
@@ -239,16 +240,43 @@ def w11_collapsed_labels(spark, d):
 _HASH = "lpad(printf('%x', (p_partkey * 2654435761 + p_size * 40503) % 1099511627776), 16, '0')"
 
 
-@query(f"""with h as (select p_partkey, {_HASH} as h from part), newest as (select * from h order by p_partkey desc limit 50)
-select a.p_partkey, b.p_partkey as twin, cast(bit_count(xor(cast('0x' || a.h as bigint), cast('0x' || b.h as bigint))) as integer) as distance from h a join newest b on a.p_partkey < b.p_partkey
-where bit_count(xor(cast('0x' || a.h as bigint), cast('0x' || b.h as bigint))) <= 10""")
+#: The newest images that an image is compared with, the differing bits that count, and the matches kept as evidence.
+NEWEST, DIFFERING, EVIDENCE = 500, 10, 5
+
+
+def twins(spark, d):
+    """(id, twin, distance) of images and the newer ones among the newest that are like them."""
+    hashed = F.lpad(F.lower(F.hex((F.col("p_partkey") * 2654435761 + F.col("p_size") * 40503) % 1099511627776)), 16, "0")
+    rows = land(spark, d, "part").select(F.col("p_partkey").alias("id"), hash_number(hashed).alias("hash"))
+    # The newest are the feature: a top-k of so many rows.
+    return near_rows(rows, rows.orderBy(F.desc("id")).limit(NEWEST), DIFFERING).where("id < twin")
+
+
+_TWINS = f"""with h as (select p_partkey, {_HASH} as h from part), newest as (select * from h order by p_partkey desc limit {NEWEST}),
+m as (select a.p_partkey, b.p_partkey as twin, cast(bit_count(xor(cast('0x' || a.h as bigint), cast('0x' || b.h as bigint))) as integer) as distance from h a join newest b on a.p_partkey < b.p_partkey)"""
+
+
+@query(f"{_TWINS} select * from m where distance <= {DIFFERING}")
 def j16_image_twins(spark, d):
-    """Images within ten differing bits of one of the newest 50: that set is the feature, so it is small and goes to every task."""
+    """Images within ten differing bits of one of the newest 500."""
+    return twins(spark, d).select(F.col("id").alias("p_partkey"), "twin", "distance")
+
+
+@query(f"{_TWINS} select p_partkey, list(twin || ':' || distance order by distance, twin)[:{EVIDENCE}] as closest from m where distance <= {DIFFERING} group by 1")
+def o12_closest_twins(spark, d):
+    """Matches of an image, the closest first, five at most as evidence; distances of 64 bits (m21)."""
+    listed = twins(spark, d).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "twin"))), 1, EVIDENCE).alias("x"))
+    return listed.select(F.col("id").alias("p_partkey"), F.transform("x", lambda x: F.concat_ws(":", x["twin"], x["distance"])).alias("closest"))
+
+
+@query(f"""with h as (select p_partkey, cast('0x' || {_HASH} as bigint) as h from part) select a.p_partkey, count(*) as twins, min(cast(bit_count(xor(a.h, b.h)) as integer)) as distance
+from h a join h b on a.p_partkey != b.p_partkey and bit_count(xor(a.h, b.h)) <= 7 group by 1""")
+def m21_all_near_hashes(spark, d):
+    """For each image, those of all images within seven differing bits: how many, and how near the nearest is."""
     hashed = F.lpad(F.lower(F.hex((F.col("p_partkey") * 2654435761 + F.col("p_size") * 40503) % 1099511627776)), 16, "0")
-    rows = land(spark, d, "part").select("p_partkey", hashed.alias("h"))
-    newest = rows.orderBy(F.desc("p_partkey")).limit(50).select(F.col("p_partkey").alias("twin"), F.col("h").alias("h2"))
-    pairs = rows.join(F.broadcast(newest), F.col("p_partkey") < F.col("twin")).withColumn("distance", hamming(F.col("h"), F.col("h2")))
-    return pairs.where("distance <= 10").select("p_partkey", "twin", F.col("distance").cast("int").alias("distance"))
+    rows = land(spark, d, "part").select(F.col("p_partkey").alias("id"), hash_number(hashed).alias("hash"))
+    near = near_rows(rows, rows, 7).where("id != twin")
+    return near.groupBy(F.col("id").alias("p_partkey")).agg(F.count("*").alias("twins"), F.min("distance").alias("distance"))
 
 
 @query(f"""with {land_sql("holdings")}, o as (select distinct parcel_id, owner_id from holdings) select a.parcel_id, list_sort(list(distinct b.parcel_id)) as others from o a join o b on a.owner_id = b.owner_id and a.parcel_id <> b.parcel_id group by 1""")
@@ -281,12 +309,15 @@ def k12_conditional_update(spark, d):
     return changed_where(rows, when, {"status": F.lit("EXPIRED")}).select("event_id", "status")
 
 
-@query("""with n as (select o_orderkey, row_number() over (order by o_orderkey) + (select count(*) from orders where o_orderstatus = 'F') as k from orders where o_orderstatus = 'P')
-select o_orderkey, printf('DOC-%05d', k) as external_id from n""")
+@query("""with given as (select printf('DOC-%05d', o_orderkey) as external_id from orders where o_orderstatus = 'F' union all select 'OLD-999999999'),
+top as (select coalesce(max(cast(regexp_extract(external_id, '^DOC-([0-9]+)$', 1) as bigint)), 0) as most from given where regexp_matches(external_id, '^DOC-[0-9]+$'))
+select o_orderkey, printf('DOC-%05d', most + row_number() over (order by o_orderkey)) as external_id from orders, top where o_orderstatus = 'P'""")
 def k17_sequence_ids(spark, d):
-    """Numbers follow the highest one given so far, in the order of the keys."""
-    taken = land(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("most"))
-    return numbered_ids(land(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", taken, "DOC-%05d")
+    """Numbers follow the highest one given so far, whatever the gaps, in the order of the keys."""
+    orders = land(spark, d, "orders")
+    given = orders.where("o_orderstatus = 'F'").select(F.format_string("DOC-%05d", "o_orderkey").alias("external_id"))
+    given = given.unionAll(spark.range(1).select(F.lit("OLD-999999999")))
+    return numbered_ids(orders.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey", highest_number(given, "external_id", "DOC-"), "DOC-%05d")
 
 
 @query(f"""with {land_sql("deeds", "parcels", "holdings", "places")} select deed_id, 'khasra=' || khasra || ';village=' || v.name || ';holders=' || array_to_string(h.hs, ',') as record from deeds d join parcels p using (parcel_id) join places v on v.id = p.village_id

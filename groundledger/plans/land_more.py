@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import geodesic_area, rectangle, thousandths
-from ..functions.values import ascii_digits, hamming
+from ..functions.values import ascii_digits
 from ..operators.anomaly import share_value
 from ..operators.extraction import words_of_fields
 from ..sources.land import land, land_sql
 from .catalogue import query
-from .land_boards import _HASH
 
 
 @query(f"with {land_sql('scans')} select scan_id, translate(raw, '०१२३४५६७८९', '0123456789') as plain from scans where field = 'KHASRA'")
@@ -41,19 +40,6 @@ def m16_geodesic_areas(spark, d):
     return land(spark, d, "part").select("p_partkey", F.round(geodesic_area(ring), 3).alias("sqm"))
 
 
-@query(f"""with h as (select p_partkey, {_HASH} as h from part), newest as (select * from h order by p_partkey desc limit 20),
-m as (select a.p_partkey, b.p_partkey as twin, cast(bit_count(xor(cast('0x' || a.h as bigint), cast('0x' || b.h as bigint))) as integer) as d from h a join newest b on a.p_partkey < b.p_partkey)
-select p_partkey, list(twin || ':' || d order by d, twin)[:5] as closest from m where d <= 16 group by 1""")
-def o12_closest_twins(spark, d):
-    """Matches of an image, the closest first, five at most as evidence; distances of 64 bits (m21) against the newest 20."""
-    hashed = F.lpad(F.lower(F.hex((F.col("p_partkey") * 2654435761 + F.col("p_size") * 40503) % 1099511627776)), 16, "0")
-    rows = land(spark, d, "part").select("p_partkey", hashed.alias("h"))
-    newest = rows.orderBy(F.desc("p_partkey")).limit(20).select(F.col("p_partkey").alias("twin"), F.col("h").alias("h2"))
-    near = rows.join(F.broadcast(newest), F.col("p_partkey") < F.col("twin")).withColumn("d", hamming(F.col("h"), F.col("h2")).cast("int")).where("d <= 16")
-    listed = near.groupBy("p_partkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "twin"))), 1, 5).alias("x"))
-    return listed.select("p_partkey", F.transform("x", lambda x: F.concat_ws(":", x["twin"], x["d"])).alias("closest"))
-
-
 @query("""with b as (select vec_id, list_transform(range(1, 9), lambda r: list_transform(range(1, 8), lambda c: case when embedding[(r - 1) * 8 + c] > embedding[(r - 1) * 8 + c + 1] then '1' else '0' end)) as bits from embeddings)
 select vec_id, array_to_string(list_transform(bits, lambda r: array_to_string(r, '')), '') as bits from b""")
 def m22_difference_hash(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 
 def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
@@ -84,13 +86,20 @@ def changed_where(rows: DataFrame, when: Column, new: dict[str, Column]) -> Data
     return rows.select(*[F.when(keep, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
+def highest_number(given: DataFrame, column: str, prefix: str) -> DataFrame:
+    """One row (most): the highest number among the ids of the prefix, 0 without any; other ids don't count."""
+    number = F.regexp_extract(column, f"^{prefix}(\\d+)$", 1)
+    return given.agg(F.coalesce(F.max(F.nullif(number, F.lit("")).cast("long")), F.lit(0)).alias("most"))
+
+
 def numbered_ids(rows: DataFrame, key: str, taken: DataFrame, form: str) -> DataFrame:
     """(key, external_id): numbers after taken(most), one row, in the order of the key.
 
     Rows are sorted across partitions; a row's number is its place in its partition
     after the rows of the partitions before, which are summed on one row each.
     """
-    placed = rows.orderBy(key).withColumn("part", F.spark_partition_id()).withColumn("inner", F.monotonically_increasing_id() % F.lit(1 << 33)).persist()
+    # Settled, so that a task that runs again gives no row another number.
+    placed = settle(rows.orderBy(key).withColumn("part", F.spark_partition_id()).withColumn("inner", F.monotonically_increasing_id() % F.lit(1 << 33)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nth = placed.join(sizes.select("part", ahead.alias("ahead")), "part").join(F.broadcast(taken))  # one row
