@@ -149,14 +149,18 @@ class Benchmark:
 def _near_windows(hashes: np.ndarray, start: np.ndarray, size: int, blocks: _Blocks) -> Iterator[tuple[int, int]]:
     """(start, item): windows of the words whose fingerprint is within the radius of the item's."""
     # Windows that overlap share the sums of their words' planes.
-    edge = [0, *(np.flatnonzero(np.diff(start) > size) + 1), len(start)]
+    prints, edge = [], [0, *(np.flatnonzero(np.diff(start) > size) + 1), len(start)]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         for low in range(a, b, WINDOWS):
             own = start[low : min(low + WINDOWS, b)]
-            sums = np.zeros((int(own[-1] - own[0]) + size + 1, BITS), np.int32)
-            np.cumsum(_planes(hashes[own[0] : own[-1] + size]), axis=0, out=sums[1:])
-            window, item = blocks.near(_fingerprints(sums[own - own[0] + size] - sums[own - own[0]]))
-            yield from zip(own[window].tolist(), item.tolist(), strict=True)
+            own, first = own - own[0], own[0]
+            sums = np.zeros((int(own[-1]) + size + 1, BITS), np.int32)
+            np.cumsum(_planes(hashes[first : first + own[-1] + size]), axis=0, out=sums[1:])
+            prints.append(_fingerprints(sums[own + size] - sums[own]))
+    prints = np.concatenate(prints)
+    for low in range(0, len(start), WINDOWS):
+        window, item = blocks.near(prints[low : low + WINDOWS])
+        yield from zip(start[low + window].tolist(), item.tolist(), strict=True)
 
 
 def _matches(part: pa.RecordBatch, bench: Benchmark, percent: int, exact: bool) -> Iterator[tuple[int, int, int, int, float]]:
