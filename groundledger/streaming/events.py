@@ -1,9 +1,8 @@
-"""Structured Streaming forms: change suppression, anchored windows, deduplication."""
+"""Structured Streaming forms: deduplication, replays, sweeps, deliveries, record events; what keeps other state is in stateful.py."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,81 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.sinks import replace_partitions
 
 
-def changes_only(stream: DataFrame, key: str, payload: str) -> DataFrame:
-    """Rows whose payload differs from the one emitted before for the key."""
-
-    def emit(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last: Any = state.get[0] if state.exists else None
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("ts").itertuples():
-                if getattr(row, payload) != last:
-                    last = getattr(row, payload)
-                    out.append((k[0], row.ts, last))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "ts", payload])
-
-    rows = stream.select(F.col(key).cast("string").alias(key), "ts", F.col(payload).cast("string").alias(payload))
-    return rows.groupBy(key).applyInPandasWithState(emit, f"{key} string, ts timestamp, {payload} string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def anchored_quota(stream: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
-    """(key, ts, accepted): at most `limit` events in a window that the key's first event begins."""
-
-    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for frame in frames:
-            for ts in frame["ts"].sort_values():
-                at = ts.timestamp()
-                if start is None or at >= start + seconds:
-                    start, n = at, 0
-                n += 1
-                out.append((k[0], ts, n <= limit))
-        if start is not None:
-            state.update((start, n))
-        yield pd.DataFrame(out, columns=[key, "ts", "accepted"])
-
-    rows = stream.select(F.col(key).cast("string").alias(key), "ts")
-    return rows.groupBy(key).applyInPandasWithState(count, f"{key} string, ts timestamp, accepted boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def once(stream: DataFrame, key: str, delay: str) -> DataFrame:
     """The first event of each key; keys are forgotten after the delay."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def quotas(stream: DataFrame, limits: list[tuple[str, str, int, int]]) -> DataFrame:
-    """(quota, key, ts, accepted) for several quotas (name, key column, limit, seconds) of every event at once.
-
-    An event becomes a row for each quota, and each (quota, key) has a state and a
-    window of its own that its first event begins. Every quota counts every event;
-    an event passes if all of its rows are accepted.
-    """
-    rules = {name: (limit, seconds) for name, _, limit, seconds in limits}
-    each = F.array(*[F.struct(F.lit(name).alias("quota"), F.col(key).cast("string").alias("key")) for name, key, _, _ in limits])
-    rows = stream.select("ts", F.inline(each)).where("key is not null")
-
-    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limit, seconds = rules[k[0]]
-        start, n = state.get if state.exists else (None, 0)
-        for frame in frames:
-            out = []
-            for ts in frame["ts"].sort_values():
-                if start is None or ts.timestamp() >= start + seconds:
-                    start, n = ts.timestamp(), 0
-                n += 1
-                out.append((*k, ts, n <= limit))
-            yield pd.DataFrame(out, columns=["quota", "key", "ts", "accepted"])
-        if start is not None:
-            state.update((start, n))
-
-    return rows.groupBy("quota", "key").applyInPandasWithState(
-        count, "quota string, key string, ts timestamp, accepted boolean", "start double, n long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def replays(stream: DataFrame, token: str, expires: str, delay: str) -> DataFrame:
     """(token, ts, replayed): whether a token was used before and hadn't expired; it is forgotten once the watermark passes its expiry."""
 

@@ -6,7 +6,8 @@ import pytest
 
 from groundledger.functions.transliteration import english_reader, to_english, transliterated
 from groundledger.operators.extraction import model_over_rules, words_of_fields
-from groundledger.streaming.events import quotas, replace_by_document, replays
+from groundledger.streaming.events import replace_by_document, replays
+from groundledger.streaming.stateful import quotas
 from pyspark.sql import functions as F
 
 

@@ -5,7 +5,7 @@ from groundledger.functions import values as v
 from groundledger.functions.shares import common_multiple
 from groundledger.operators.intervals import as_of, legal_transitions, sequence_faults
 from groundledger.sources.sinks import replace_partitions
-from groundledger.streaming.events import changes_only
+from groundledger.streaming.stateful import changes_only
 
 
 def one(spark, column):

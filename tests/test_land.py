@@ -23,7 +23,8 @@ from groundledger.operators.rules import without_signal
 from groundledger.operators.scopes import within
 from groundledger.operators.splits import split_groups
 from groundledger.sources import sinks, tables
-from groundledger.streaming.events import anchored_quota, caught_up, deliver_once, once, record_events, stalled
+from groundledger.streaming.events import caught_up, deliver_once, once, record_events, stalled
+from groundledger.streaming.stateful import anchored_quota
 
 
 def one(spark, column):
