@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.geometry import geodesic_area, rectangle, thousandths
+from ..functions.projective import inverse_map, page_map, projected, projected_box
 from ..functions.values import ascii_digits
 from ..operators.anomaly import share_value
 from ..operators.extraction import words_of_fields
@@ -63,3 +64,29 @@ def x12_token_labels(spark, d):
     label = F.coalesce(F.concat(F.when(c("begins"), "B-").otherwise("I-"), c("field")), F.lit("O"))
     out = words.join(found, ["page", "n"], "left")
     return out.select("page", "n", label.alias("label"), thousandths(c("x1"), F.lit(700)).alias("x1"), thousandths(c("y1"), F.lit(320)).alias("y1"))
+
+
+_CORNERS = (("l_orderkey % 30", "l_orderkey % 23"), ("620 - l_orderkey % 19", "l_orderkey % 17"), ("620 - l_orderkey % 29", "880 - l_orderkey % 31"), ("l_orderkey % 13", "880 - l_orderkey % 37"))
+_PLACES = ", ".join(f"{x} as x{k}, {y} as y{k}" for k, (x, y) in enumerate(_CORNERS))
+
+
+@query(f"""with b as (select row_number() over () as rid, l_orderkey, l_linenumber, (l_partkey % 50) * 10 as bx1, l_suppkey % 40 * 10 as by1, (l_partkey % 50) * 10 + 100 + l_linenumber * 7 as bx2, l_suppkey % 40 * 10 + 30 as by2, {_PLACES} from lineitem),
+p as (select *, ((x0 - x1 + x2 - x3) * (y3 - y2) - (x3 - x2) * (y0 - y1 + y2 - y3)) / cast((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) as double) as g,
+    ((x1 - x2) * (y0 - y1 + y2 - y3) - (x0 - x1 + x2 - x3) * (y1 - y2)) / cast((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) as double) as h from b),
+c as (select rid, l_orderkey, l_linenumber, x0, y0, x1, y1, x3, y3, g, h, unnest([bx1, bx2, bx2, bx1]) / 620.0 as u, unnest([by1, by1, by2, by2]) / 880.0 as v from p),
+m as (select rid, l_orderkey, l_linenumber, ((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / (g * u + h * v + 1) as x, ((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / (g * u + h * v + 1) as y from c)
+select l_orderkey, l_linenumber, cast(floor(min(x) + 1e-6) as integer) as x1, cast(floor(min(y) + 1e-6) as integer) as y1, cast(ceil(max(x) - 1e-6) as integer) as x2, cast(ceil(max(y) - 1e-6) as integer) as y2, cast(0.0 as double) as drift
+from m group by rid, l_orderkey, l_linenumber""")
+def m13_photographed_boxes(spark, d):
+    """Boxes of pages photographed at an angle, each page by a map of its own, and how far the map back is off."""
+    c = F.col
+    rows = land(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.struct(((c("l_partkey") % 50) * 10).alias("x1"), (c("l_suppkey") % 40 * 10).alias("y1"), ((c("l_partkey") % 50) * 10 + 100 + c("l_linenumber") * 7).alias("x2"), (c("l_suppkey") % 40 * 10 + 30).alias("y2")).alias("b"),
+        F.array(*[F.expr(f"cast({v} as double)") for place in _CORNERS for v in place]).alias("at"),
+    )
+    m = page_map([(c("at")[2 * k], c("at")[2 * k + 1]) for k in range(4)], F.lit(620.0), F.lit(880.0))
+    there = projected(m, c("b.x1"), c("b.y2"))
+    back = projected(inverse_map(m), *there)
+    drift = F.greatest(F.abs(back[0] - c("b.x1")), F.abs(back[1] - c("b.y2")))
+    return rows.select("l_orderkey", "l_linenumber", projected_box(m, c("b")).alias("m"), F.round(drift, 6).alias("drift")).select("l_orderkey", "l_linenumber", "m.*", "drift")

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundledger.functions import values as v
+from groundledger.functions.projective import inverse_map, page_map, projected
 from groundledger.functions.shares import common_multiple
 from groundledger.operators.intervals import as_of, legal_transitions, sequence_faults
+from groundledger.operators.splits import split_groups
 from groundledger.sources.sinks import replace_partitions
 from groundledger.streaming.stateful import changes_only
 
@@ -69,3 +71,24 @@ def test_changes_only(spark, tmp_path):
     query = changes_only(stream, "job", "payload").writeStream.format("memory").queryName("changes").trigger(availableNow=True)
     query.option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
     assert [r.payload for r in spark.table("changes").orderBy("ts").collect()] == ["x", "y"]
+
+
+def test_page_maps_take_corners_to_corners_and_back(spark):
+    corners = [(12.0, 7.0), (590.0, 30.0), (610.0, 870.0), (3.0, 850.0)]
+    m = page_map([(F.lit(x), F.lit(y)) for x, y in corners], F.lit(620.0), F.lit(880.0))
+    for (x, y), (u, v) in zip([(0.0, 0.0), (620.0, 0.0), (620.0, 880.0), (0.0, 880.0), (300.0, 400.0)], [*corners, (None, None)], strict=True):
+        there = projected(m, F.lit(x), F.lit(y))
+        back = projected(inverse_map(m), *there)
+        r = spark.range(1).select(*[c.alias(n) for c, n in zip((*there, *back), "abcd", strict=True)]).first()
+        assert (u is None or (r.a, r.b) == pytest.approx((u, v))) and (r.c, r.d) == pytest.approx((x, y), abs=1e-6)
+    line = page_map([(F.lit(float(k)), F.lit(float(k))) for k in range(4)], F.lit(620.0), F.lit(880.0))
+    assert spark.range(1).select(projected(line, F.lit(1.0), F.lit(1.0))[0].alias("x")).first().x is None
+
+
+def test_splits_meet_their_shares(spark):
+    rows = spark.range(30_000).select((F.col("id") % 2500).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(4))).alias("t"))
+    split = split_groups(rows, "g", "t")
+    assert split.count() == split.select("g").distinct().count() == 2500
+    for r in rows.join(split, "g").groupBy("t").pivot("split").count().collect():
+        whole = r.train + r.val + r.test
+        assert abs(r.train / whole - 0.70) < 0.01 and abs(r.val / whole - 0.15) < 0.01 and abs(r.test / whole - 0.15) < 0.01
