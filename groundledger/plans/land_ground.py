@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.polygons import area, extent, geodesic, polygon, polygon_fault, shared_area
 from ..operators.quadtree import meeting_boxes
+from ..sources.features import features, write_features
 from ..sources.land import land, land_sql
-from ..sources.shared import settle
+from ..sources.shared import scratch, settle
 from .catalogue import query
 
 #: Corners of the plots' shapes on a square of twelve: a rectangle, an L, a star, a frame, a bow-tie, a triangle.
@@ -147,3 +148,14 @@ def a39_parcel_areas(spark, d):
     rows = _sound(spark, d).select("village", geodesic(F.transform("rings", lambda ring: F.transform(ring, move))).alias("sqm"))
     sizes = [F.count("*").alias("n"), F.round(F.min("sqm"), 1).alias("least"), F.round(F.max("sqm"), 1).alias("most"), F.round(F.sum("sqm") / 1e6, 3).alias("total")]
     return rows.groupBy("village").agg(*sizes)
+
+
+@query(f"""with {land_sql("plots")} select village as village_id, id, kind, round(recorded, 6) as recorded from plots where village in (0, 5, 12) and kind is not null""")
+def s12_features_in_scope(spark, d):
+    """Plots as map features, a folder a village, read back for the villages of a scope: other folders are not opened."""
+    folder = scratch(spark, "features")
+    shape = F.when(F.col("kind").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")))
+    write_features(land(spark, d, "plots"), folder, F.col("village"), F.col("id"), shape, F.struct("kind", "recorded"))
+    found = features(spark, folder, ["0", "5", "12"]).where("geometry is not null")
+    told = F.from_json("properties", "kind int, recorded double")
+    return found.select(F.col("village_id").cast("int").alias("village_id"), F.col("id").cast("long").alias("id"), told["kind"].alias("kind"), F.round(told["recorded"], 6).alias("recorded"))

@@ -33,6 +33,14 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession, stem: str) -> str:
+    """A folder of its own in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them again: lineage ends here.
 
