@@ -26,4 +26,4 @@ def FLAGSHIP(spark: SparkSession, folder: str) -> DataFrame:  # noqa: N802
     return QUERIES["a13_progress_by_location"](spark, folder)
 
 
-from . import aggregates, composites, extraction, land_boards, land_ground, land_more, land_pages, land_rules, land_security, land_text, pages, relational, texts  # noqa: E402, F401
+from . import aggregates, composites, extraction, land_boards, land_extra, land_ground, land_more, land_pages, land_rules, land_security, land_text, pages, relational, texts  # noqa: E402, F401

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(rows: DataFrame, path: str) -> int:
+    """Writes the rows under a header; returns how many were written, counted in the same pass."""
+    written = Observation()
+    rows.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(path)
+    return written.get["rows"]
 
 
 def export_splits(rows: DataFrame, path: str, split: str, order: str) -> None:

@@ -183,7 +183,7 @@ def test_image_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "k int, split string")
-    sinks.export_csv(rows, str(tmp_path / "csv"))
+    assert sinks.export_csv(rows, str(tmp_path / "csv")) == 3
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
     sinks.export_splits(rows, str(tmp_path / "js"), "split", "k")
     assert [r.k for r in spark.read.json(str(tmp_path / "js" / "split=a")).collect()] == [1, 3]
