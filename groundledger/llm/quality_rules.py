@@ -23,6 +23,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from .words import find_words, ngrams, parts
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
 P = len(FEATURES)
 STARTS = 3
-#: Concentration steps at most; they end when no log-determinant changes by TOLERANCE.
+#: Concentration steps at most; a group's end when its log-determinant changes by less than TOLERANCE. What still moves then counts as it is, with a warning.
 STEPS, TOLERANCE = 30, 1e-3
 SHARE = 0.75
 #: Rows that the estimate of the language (of all rows, for a language) counts for.
@@ -206,15 +207,24 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     """(grp, n, mean, cov) of rows(grp, f0..f4): reweighted minimum covariance determinant."""
     fit = settle(_starts(rows))
     near = F.floor(16 * F.log2(_distance() + F.lit(1e-12))).cast("int")
+    ended: list[DataFrame] = []
     for _ in range(STEPS):
+        # Only the rows of groups that still move are looked at.
         placed = _beside(rows, fit, "grp").withColumn("bin", near)
-        new = settle(_estimates(_nearest(placed.groupBy("grp", "start", "bin").agg(*_sums())), CONSISTENT))
-        moved = fit.select("grp", "start", F.col("det").alias("old")).join(new, ["grp", "start"])
-        most = moved.agg(F.max(F.abs(F.col("det") - F.col("old")))).first()[0]
+        new = _estimates(_nearest(placed.groupBy("grp", "start", "bin").agg(*_sums())), CONSISTENT)
+        old = fit.select("grp", "start", F.col("det").alias("old"))
+        new = settle(new.join(old, ["grp", "start"]).withColumn("moves", F.abs(F.col("det") - F.col("old")) >= TOLERANCE).drop("old"))
         release(fit)
-        fit = new
-        if most is None or most < TOLERANCE:
+        ended.append(new.where("not moves").drop("moves"))
+        fit = new.where("moves").drop("moves")
+        if fit.isEmpty():
             break
+    else:
+        warnings.warn(f"{fit.count()} starts of groups still moved after {STEPS} steps", stacklevel=2)
+        ended.append(fit)
+    fit = ended[0]
+    for more in ended[1:]:
+        fit = fit.unionByName(more)
     best = fit.groupBy("grp").agg(F.min_by(F.struct("mean", "inv"), F.struct("det", "start")).alias("x")).select("grp", "x.*")
     inner = _beside(rows, settle(best), "grp").where(_distance() <= CHI2_975).withColumn("start", F.lit(0))
     sums = inner.groupBy("grp", "start").agg(*_sums()).groupBy("grp", "start").agg(*_arrays(F.col("n"), F.lit(1.0)))
