@@ -11,10 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-#: Square metres of the area units.
+#: Square metres of the area units, as the nearest doubles; a quotient may be the one beside it, and ties turn on that.
 UNIT_SQM = {
-    "BIGHA": 2529.285, "BISWA": 2529.285 / 20, "ACRE": 4046.86, "HECTARE": 10_000.0, "SQUARE_METRE": 1.0,
-    "GUNTHA": 4046.86 / 40, "CENT": 4046.86 / 100,
+    "BIGHA": 2529.285, "BISWA": 126.46425, "ACRE": 4046.86, "HECTARE": 10_000.0, "SQUARE_METRE": 1.0,
+    "GUNTHA": 101.1715, "CENT": 40.4686,
 }
 #: First code points of the decimal digits of Arabic, Indic scripts and full width.
 _DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xA66, 0xAE6, 0xB66, 0xBE6, 0xC66, 0xCE6, 0xD66, 0xFF10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.values import UNIT_SQM, nfc, square_metres
+from ..functions.values import nfc, square_metres
 from ..operators.evaluation import confusion, grouped_calibration, skyline, with_scores
 from ..operators.hierarchy import closure, descendants, rolled_up
 from ..operators.intervals import islands
@@ -17,7 +17,7 @@ from ..sources.sinks import changed_where, highest_number, insert_absent, number
 from .catalogue import query
 from .land_security import _SCOPE, ROOT
 
-_SQM = "case area_unit " + " ".join(f"when '{u}' then {v!r}" for u, v in UNIT_SQM.items()) + " end"
+_SQM = """case area_unit when 'BIGHA' then 2529.285 when 'BISWA' then 126.46424999999999 when 'ACRE' then 4046.86 when 'HECTARE' then 10000.0 when 'SQUARE_METRE' then 1.0 when 'GUNTHA' then 101.17150000000001 when 'CENT' then 40.4686 end"""
 
 
 @query(f"""with {_SCOPE}, up(id, ancestor) as (with recursive u(id, ancestor) as (select id, id from scope union all select u.id, p.parent_id from u join places p on p.id = u.ancestor where p.parent_id in (select id from scope)) select id, ancestor from u),
