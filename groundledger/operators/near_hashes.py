@@ -45,7 +45,8 @@ def near_hashes(rows: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     asked = asked.select("near", F.inline(F.array(*patterns))).select("near", "block", F.col("near").bitwiseAND(F.col("mask")).alias("own"), F.explode("changed").alias("change"))
     asked = asked.select("near", "block", F.col("own").bitwiseXOR(F.col("change")).alias("bits"))
     apart = F.col("hash").bitwiseXOR(F.col("near"))
-    pairs = indexed.join(asked, ["block", "bits"]).withColumn("distance", F.bit_count(apart).cast("int")).where(F.col("distance") <= radius)
+    # Planned sizes don't count the patterns, so a small table would be sent whole to the driver with all of them.
+    pairs = indexed.join(asked.hint("merge"), ["block", "bits"]).withColumn("distance", F.bit_count(apart).cast("int")).where(F.col("distance") <= radius)
     # Earlier blocks would have brought the pair together if they differed in so few bits.
     earlier = F.lit(False)
     for b in range(BLOCKS - 1):
@@ -57,4 +58,4 @@ def near_rows(rows: DataFrame, queries: DataFrame, radius: int) -> DataFrame:
     """(id, twin, distance) of rows(id, hash) and queries(id, hash), copies of a hash each for itself."""
     found = near_hashes(rows, queries, radius)
     twins = queries.select(F.col("id").alias("twin"), F.col("hash").alias("near"))
-    return rows.select("id", "hash").join(found, "hash").join(twins, "near").select("id", "twin", "distance")
+    return rows.select("id", "hash").hint("merge").join(found, "hash").join(twins.hint("merge"), "near").select("id", "twin", "distance")
