@@ -29,7 +29,11 @@ SLIVER = 1.0
 
 
 def _plots(spark, d):
-    """(id, village, recorded, rings): rings are null where a plot has no geometry."""
+    """(id, village, recorded, rings, box): rings are null where a plot has no geometry.
+
+    Rows come from an inline(), so each plot's rings and box are made once and not in every
+    condition on them. A table of plots is a small file, so its rows are dealt to all tasks first.
+    """
     c = F.col
 
     def shape(rings):
@@ -38,13 +42,14 @@ def _plots(spark, d):
     rings = F.when(c("kind") == 0, shape(SHAPES[0]))
     for k in range(1, len(SHAPES)):
         rings = rings.when(c("kind") == k, shape(SHAPES[k]))
-    return land(spark, d, "plots").select("id", "village", "recorded", rings.alias("rings"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = F.transform(F.array(rings), lambda r: F.struct(r.alias("rings"), extent(r).alias("box")))
+    return land(spark, d, "plots").repartition(tasks).select("id", "village", "recorded", F.inline(made))
 
 
 def _sound(spark, d):
     """The valid plots with their boxes."""
-    rows = _plots(spark, d)
-    return rows.where(polygon_fault("rings").isNull()).withColumn("box", extent(F.col("rings")))
+    return _plots(spark, d).where(polygon_fault("rings").isNull())
 
 
 def _corners_sql() -> str:
