@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settle
 
-#: Vectors that centroids are fitted on, most cells, cells that a search looks into, and searches compared together.
-SAMPLE, MOST_CELLS, PROBES, BLOCK = 20_000, 4096, 8, 2048
+#: Vectors that centroids are fitted on, most cells, cells that a search looks into, searches compared together, and vectors compared with them at a time.
+SAMPLE, MOST_CELLS, PROBES, BLOCK, SLAB = 20_000, 4096, 8, 2048, 1024
+#: Decimals of a similarity that count: products of equal vectors may differ in their last bits by where they stand in a matrix.
+DECIMALS = 12
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -47,7 +49,8 @@ def nearest(vectors: DataFrame, searches: DataFrame, k: int, scope: list[str]) -
     """(search, id, similarity, place): the k nearest of vectors(id, vector, scope) to each of searches(search, wanted, scope), itself left out.
 
     All vectors are compared, with the searches in blocks of BLOCK: a task holds one
-    block and a batch of vectors, and keeps k of a batch for each search.
+    block, SLAB vectors and the k nearest so far, whatever the tables' sizes; vectors
+    and searches of other scopes never meet.
     """
     spark = vectors.sparkSession
     asked = settle(searches.select("search", F.col("wanted").cast("array<double>").alias("wanted"), F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in scope]).alias("scope")))
@@ -61,19 +64,26 @@ def nearest(vectors: DataFrame, searches: DataFrame, k: int, scope: list[str]) -
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search, wanted, within = shared.value
+            asked_in = {scope: np.flatnonzero(within == scope) for scope in set(within)}
+            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                if not batch.num_rows or not len(search):
-                    continue
-                ids, own = batch.column("id").to_numpy(), np.array(batch.column("scope").to_pylist(), object)
-                like = _matrix(batch.column("vector")) @ wanted.T
-                like[(own[:, None] != within[None]) | (ids[:, None] == search[None])] = -np.inf
-                keep = min(k, len(ids))
-                # Of equally similar ones the smallest ids count, so ties are not cut off by chance.
-                order = np.lexsort((np.broadcast_to(ids[:, None], like.shape), -like), axis=0)[:keep]
-                column = np.broadcast_to(np.arange(len(search)), order.shape)
-                found = like[order, column]
-                some = np.isfinite(found)
-                yield pa.RecordBatch.from_arrays([pa.array(search[column[some]]), pa.array(ids[order[some]]), pa.array(found[some])], ["search", "id", "similarity"])
+                for start in range(0, batch.num_rows, SLAB):
+                    slab = batch.slice(start, SLAB)
+                    ids, own, rows = slab.column("id").to_numpy(), np.array(slab.column("scope").to_pylist(), object), _matrix(slab.column("vector"))
+                    for scope in asked_in.keys() & set(own):
+                        mine, column = np.flatnonzero(own == scope), asked_in[scope]
+                        like = np.round(rows[mine] @ wanted[column].T, DECIMALS)
+                        like[ids[mine, None] == search[None, column]] = -np.inf
+                        both = like, np.broadcast_to(ids[mine, None], like.shape)
+                        if scope in best:
+                            both = tuple(np.vstack(x) for x in zip(best[scope], both, strict=True))
+                        # Of equally similar ones the smallest ids count, so ties are not cut off by chance.
+                        order = np.lexsort((both[1], -both[0]), axis=0)[:k]
+                        best[scope] = tuple(np.take_along_axis(x, order, 0) for x in both)
+            for scope, (like, ids) in best.items():
+                some = np.isfinite(like)
+                found = np.broadcast_to(search[asked_in[scope]], like.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(ids[some]), pa.array(like[some])], ["search", "id", "similarity"])
 
         part = known.mapInArrow(compare, "search long, id long, similarity double")
         out = part if out is None else out.unionAll(part)
